@@ -23,7 +23,7 @@ from gridloom.llm.textkit import batch_chunks, mix64, shingle_sets
 
 COORDS = 128
 TREES, DEPTH, MORE_DEPTH = 20, 3, 4
-SMALL_NODE = 8
+SMALL_NODE, LARGE_NODE = 8, 32
 #: Pairs whose sketches agree by so much less than the threshold reach it with a chance of about 1e-6.
 SKETCH_SLACK = 0.18
 _rng = np.random.default_rng(77)
@@ -114,17 +114,18 @@ def _deeper(members: DataFrame) -> DataFrame:
 
 
 def _crowded(frontier: DataFrame) -> DataFrame:
-    """id, path, n, least, lead: members of nodes that hold more than one class, with the node's size and two leaders."""
-    nodes = frontier.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min(F.struct(F.xxhash64("id", "path").alias("h"), "id")).alias("lead")).where("n > 1").selectExpr("path", "n", "least", "lead.id AS lead")
+    """id, path: members of nodes that hold more than one class, with the node's size n and three leaders: the least, one of the node's own, and one by a hash that half of all nodes share."""
+    own, shared = (F.min(F.struct(F.xxhash64("id", salt).alias("h"), "id")) for salt in (F.col("path"), F.pmod("path", F.lit(2))))
+    nodes = frontier.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("least"), own.alias("own"), shared.alias("shared")).where("n > 1").selectExpr("path", "n", "least", "own.id AS own", "shared.id AS shared")
     return frontier.join(nodes, "path")
 
 
-def _pairs(crowded: DataFrame, star_only_above: int) -> DataFrame:
-    """a > b: all pairs of small nodes, members against leaders in the others."""
-    small = crowded.where(f"n <= {star_only_above}").groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+def _pairs(crowded: DataFrame) -> DataFrame:
+    """a > b: all pairs of small nodes, members against leaders in the others. In large nodes the leaders are those that other nodes of a group are likely to have too, so a group gives a few pairs a member."""
+    small = crowded.where(f"n <= {SMALL_NODE}").groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     small = small.selectExpr("explode(flatten(transform(ids, (x, i) -> transform(slice(ids, 1, i), y -> struct(x AS a, y AS b))))) AS p").selectExpr("p.a", "p.b")
-    large = crowded.where(f"n > {star_only_above}")
-    star = large.selectExpr("explode(array_distinct(array(struct(greatest(id, least) AS a, least(id, least) AS b), struct(greatest(id, lead) AS a, least(id, lead) AS b)))) AS p").selectExpr("p.a", "p.b")
+    leaders = f"array(least, if(n <= {LARGE_NODE}, own, shared))"
+    star = crowded.where(f"n > {SMALL_NODE}").selectExpr(f"explode(transform(array_distinct({leaders}), y -> struct(greatest(id, y) AS a, least(id, y) AS b))) AS p").selectExpr("p.a", "p.b")
     return small.unionByName(star).where("a > b")
 
 
@@ -183,8 +184,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, share: int) ->
     """(a, b): each class that is linked to others, but the least of its component, and that least class."""
     spark = docs.sparkSession
     crowded = Table(spark, _crowded(_frontier(classes)), "nodes")
-    large = crowded.df.where(f"n > {4 * SMALL_NODE}").select("id", "path").join(classes.select("id", "sketch"), "id").select("id", "path", "sketch")
-    pairs = _pairs(crowded.df, SMALL_NODE).unionByName(_pairs(_crowded(_deeper(large)), SMALL_NODE)).distinct()
+    large = crowded.df.where(f"n > {LARGE_NODE}").select("id", "path").join(classes.select("id", "sketch"), "id").select("id", "path", "sketch")
+    pairs = _pairs(crowded.df).unionByName(_pairs(_crowded(_deeper(large)))).distinct()
     todo = Table(spark, _similar(pairs, classes, share), "pairs")
     crowded.drop()
     involved = classes.select("id", "doc").join(todo.df.selectExpr("explode(array(a, b)) AS id").distinct(), "id", "left_semi")
