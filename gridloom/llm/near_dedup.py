@@ -102,12 +102,13 @@ def _frontier(classes: DataFrame) -> DataFrame:
 
 
 def _deeper(members: DataFrame) -> DataFrame:
-    """id, path: MORE_DEPTH levels below the given nodes; members: id, path, sketch."""
+    """id, path: MORE_DEPTH levels below the given nodes; members: id, paths (its large nodes, a hundred at most), sketch."""
 
     def run(batches):
         for b in batches:
-            ids, sk = b.column("id").to_numpy(), _sketches(b.column("sketch"))
-            paths, rows = branch(b.column("path").to_numpy().view(np.uint64), np.arange(len(ids)), sk, MORE_DEPTH)
+            ids, sk, lists = b.column("id").to_numpy(), _sketches(b.column("sketch")), b.column("paths")
+            rows = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+            paths, rows = branch(lists.flatten().to_numpy().view(np.uint64), rows, sk, MORE_DEPTH)
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(paths.view(np.int64))], names=["id", "path"])
 
     return members.mapInArrow(run, "id long, path long")
@@ -184,7 +185,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, share: int) ->
     """(a, b): each class that is linked to others, but the least of its component, and that least class."""
     spark = docs.sparkSession
     crowded = Table(spark, _crowded(_frontier(classes)), "nodes")
-    large = crowded.df.where(f"n > {LARGE_NODE}").select("id", "path").join(classes.select("id", "sketch"), "id").select("id", "path", "sketch")
+    large = crowded.df.where(f"n > {LARGE_NODE}").groupBy("id").agg(F.collect_list("path").alias("paths")).join(classes.select("id", "sketch"), "id")
     pairs = _pairs(crowded.df).unionByName(_pairs(_crowded(_deeper(large)))).distinct()
     todo = Table(spark, _similar(pairs, classes, share), "pairs")
     crowded.drop()
