@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.sparkkit import free_name, shuffle_partitions
+from gridloom.llm.sparkkit import Table, free_name, shuffle_partitions
 
 MIN_KEY_CHARS = 10
 _UP, _DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,8 +31,9 @@ def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_KEY_CHARS) -> DataFrame:
     """doc, th, n_dropped, words: map of 64-line word number to bits of dropped lines; only documents that lose lines."""
     lines = hashed_lines(docs, id_col, text_col, min_chars)
-    n = shuffle_partitions(docs.sparkSession)
-    runs = lines.repartitionByRange(n, "h1", "h2", "doc", "pos").sortWithinPartitions("h1", "h2", "doc", "pos")
+    spark = docs.sparkSession
+    ranged = lines.repartitionByRange(shuffle_partitions(spark), "h1", "h2", "doc", "pos").sortWithinPartitions("h1", "h2", "doc", "pos")
+    runs = Table(spark, ranged, "lines").df
     first = runs.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
     later = runs.join(first, ["h1", "h2"]).where("doc > first")
     bits = later.groupBy("doc", "th", F.expr("pos div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
