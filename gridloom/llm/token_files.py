@@ -12,6 +12,7 @@ store and a task that is run again leaves nothing behind.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 
@@ -65,18 +66,33 @@ def load_tokenizer(path: str) -> Tokenizer:
     return t
 
 
+_NOT_A_CUT = re.compile(r"\s ")
+
+
+@functools.lru_cache(maxsize=2)
+def _cache(path: str, dtype: str) -> dict[str, bytes]:
+    """Ids of pieces by piece; one for each worker process."""
+    return {}
+
+
 class PieceEncoder:
     """Encodes texts piece by piece, each distinct piece once while it stays in a bounded cache.
 
     Pieces are cut before a blank that follows a non-space: there the split
     pattern must begin a match, so pieces encode as they do within the text.
+    New pieces are encoded together, again because cuts there change nothing,
+    and told apart by their lengths in bytes.
     """
 
     def __init__(self, path: str, dtype: str):
-        self.tokenizer, self.dtype, self.known = load_tokenizer(path), dtype, {}
+        self.tokenizer, self.dtype, self.known = load_tokenizer(path), np.dtype(dtype), _cache(path, dtype)
+        self.lengths = _byte_lengths(path)
 
     def pieces(self, text: str) -> list[str]:
+        """The text's pieces, each with its leading blank."""
         parts = text.split(" ")
+        if _NOT_A_CUT.search(text) is None:
+            return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
         out = [parts[0]]
         for p in parts[1:]:
             if out[-1] and not out[-1][-1].isspace():
@@ -85,15 +101,39 @@ class PieceEncoder:
                 out[-1] += " " + p
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces that begin with a blank and end with a non-space as one text, others alone."""
+        joint = [p for p in new if p[:1] == " " and not p[-1:].isspace() and "<|" not in p]
+        for at in range(0, len(joint), 4096):
+            part = joint[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
+            raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            a = 0
+            for p, b in zip(part, (ends * size).tolist()):
+                self.known[p] = raw[a:b]
+                a = b
+        alone = [p for p in new if p not in self.known]
+        for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[p] = np.array(e.ids, self.dtype).tobytes()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        known = self.known
         cut = [self.pieces(t) for t in texts]
-        new = list({p for ps in cut for p in ps if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([known[p] for p in ps]) for ps in cut]
+        self._learn(list(set().union(*cut).difference(self.known)))
+        find = self.known.__getitem__
+        return [b"".join(map(find, ps)) for ps in cut]
+
+
+@functools.lru_cache(maxsize=2)
+def _byte_lengths(path: str) -> np.ndarray:
+    """Bytes that each id stands for: the byte-level alphabet has one character a byte."""
+    vocab = load_tokenizer(path).get_vocab(with_added_tokens=False)
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        out[i] = len(token)
+    return out
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
