@@ -192,7 +192,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, share: int) ->
     involved = classes.select("id", "doc").join(todo.df.selectExpr("explode(array(a, b)) AS id").distinct(), "id", "left_semi")
     sets = Table(spark, _full_sets(docs, involved, words), "sets")
     links: Table | None = None
-    width = 1
+    width, n_classes = 1, classes.count()
     while True:  # each round confirms a few pairs of every class; pairs that are in one component by now need no comparison
         some = todo.df.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(f"r <= {width}").select("a", "b")
         good = Table(spark, _confirm(some, sets.df, share), "links")
@@ -207,7 +207,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, share: int) ->
         rest = rest.join(home.selectExpr("v AS a", "c AS ca"), "a", "left").join(home.selectExpr("v AS b", "c AS cb"), "b", "left")
         left = Table(spark, rest.where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "pairs")
         todo.drop()
-        todo, width = left, width * 4
+        # Few pairs left: all of them at once; else a few more of every class.
+        todo, width = left, (1 << 30) if left.df.count() <= n_classes // 2 else width * 4
         if todo.df.isEmpty():
             todo.drop()
             sets.drop()
