@@ -25,7 +25,8 @@ from tokenizers import Tokenizer
 from gridloom.llm.sparkkit import fresh_path, shuffle_partitions
 
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
-CACHE_ENTRIES = 400_000
+#: Pieces in each of the cache's two generations.
+CACHE_ENTRIES = 200_000
 #: Bytes of text for one file, about.
 FILE_BYTES = 32 << 20
 
@@ -66,33 +67,34 @@ def load_tokenizer(path: str) -> Tokenizer:
     return t
 
 
-_NOT_A_CUT = re.compile(r"\s ")
+#: Where a blank, line feed, comma or full stop may not begin a match of the split pattern.
+_NOT_A_CUT = re.compile(r"\s[ \n]|[\W_][,.]|\x00")
 
 
 @functools.lru_cache(maxsize=2)
-def _cache(path: str, dtype: str) -> dict[str, bytes]:
-    """Ids of pieces by piece; one for each worker process."""
-    return {}
+def _cache(path: str, dtype: str) -> list[dict[str, bytes]]:
+    """Ids of pieces by piece, now and in the last generation; one for each worker process."""
+    return [{}, {}]
 
 
 class PieceEncoder:
     """Encodes texts piece by piece, each distinct piece once while it stays in a bounded cache.
 
-    Pieces are cut before a blank that follows a non-space: there the split
-    pattern must begin a match, so pieces encode as they do within the text.
-    New pieces are encoded together, again because cuts there change nothing,
-    and told apart by their lengths in bytes.
+    Pieces are cut where the split pattern must begin a match whatever comes
+    before: a blank or line feed after a non-space, a comma or full stop after
+    a letter or digit. So pieces encode as they do within the text. New pieces
+    are encoded together, again because cuts there change nothing, and told
+    apart by their lengths in bytes.
     """
 
     def __init__(self, path: str, dtype: str):
-        self.tokenizer, self.dtype, self.known = load_tokenizer(path), np.dtype(dtype), _cache(path, dtype)
+        self.tokenizer, self.dtype, self.generations = load_tokenizer(path), np.dtype(dtype), _cache(path, dtype)
         self.lengths = _byte_lengths(path)
 
     def pieces(self, text: str) -> list[str]:
-        """The text's pieces, each with its leading blank."""
-        parts = text.split(" ")
         if _NOT_A_CUT.search(text) is None:
-            return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
+            return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(",", "\0,").replace(".", "\0.").split("\0")
+        parts = text.split(" ")
         out = [parts[0]]
         for p in parts[1:]:
             if out[-1] and not out[-1][-1].isspace():
@@ -101,9 +103,9 @@ class PieceEncoder:
                 out[-1] += " " + p
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces that begin with a blank and end with a non-space as one text, others alone."""
-        joint = [p for p in new if p[:1] == " " and not p[-1:].isspace() and "<|" not in p]
+    def _learn(self, new: list[str], known: dict[str, bytes]) -> None:
+        """Encode pieces that begin with a blank or line feed and end with a non-space as one text, others alone."""
+        joint = [p for p in new if p[:1] in (" ", "\n") and not p[-1:].isspace() and "<|" not in p]
         for at in range(0, len(joint), 4096):
             part = joint[at : at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
@@ -111,18 +113,21 @@ class PieceEncoder:
             raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
             a = 0
             for p, b in zip(part, (ends * size).tolist()):
-                self.known[p] = raw[a:b]
+                known[p] = raw[a:b]
                 a = b
-        alone = [p for p in new if p not in self.known]
+        alone = [p for p in new if p not in known]
         for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, self.dtype).tobytes()
+            known[p] = np.array(e.ids, self.dtype).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
+        if len(self.generations[0]) > CACHE_ENTRIES:
+            self.generations[:] = [{}, self.generations[0]]
+        known, old = self.generations
         cut = [self.pieces(t) for t in texts]
-        self._learn(list(set().union(*cut).difference(self.known)))
-        find = self.known.__getitem__
+        new = set().union(*cut).difference(known)
+        known.update([(p, old[p]) for p in new.intersection(old)])
+        self._learn(list(new.difference(known)), known)
+        find = known.__getitem__
         return [b"".join(map(find, ps)) for ps in cut]
 
 
@@ -137,7 +142,7 @@ def _byte_lengths(path: str) -> np.ndarray:
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
-    """Write ``path``/data and ``path``/index; return the index: file, doc_id, offset, n_tokens.
+    """Write ``path``/data and ``path``/index; return the index, made by reading the files back: file, doc_id, offset, n_tokens, ids_crc32.
 
     Null text is empty and gives the end id alone; documents with a null id
     come first; repeated ids keep one record each. ``width`` 2 suits
@@ -164,7 +169,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array([r[:-1] for r in rows], pa.binary())], names=["record"])
 
     ordered.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
-    read_records(spark, path, width).select("file", "doc_id", "offset", "n_tokens").write.parquet(f"{path}/index")
+    read_records(spark, path, width).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
 
@@ -221,11 +226,10 @@ def token_table(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
     spark = docs.sparkSession
     path = fresh_path(spark, "tokens")
-    write_token_files(docs, tokenizer_file, path)
-    records = read_records(spark, path)
+    records = write_token_files(docs, tokenizer_file, path)
     inside = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    totals = spark.read.parquet(f"{path}/index").groupBy("file").agg(F.sum("n_tokens").alias("total"))
+    totals = records.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     totals = totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     local = records.withColumn("_local", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return local.join(totals, "file").selectExpr("doc_id", "base + _local AS start", "n_tokens", "ids_crc32")

@@ -349,7 +349,7 @@ def test_records_detect_damage():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["a", "'", "s", " ", "  ", "\n", "1", "!", "é", "\x1c", "　", "word", "<|endoftext|>"]), max_size=40))
+@given(st.lists(st.sampled_from(["a", "'", "s", " ", "  ", "\n", "1", "!", "é", "\x1c", "　", "word", "<|endoftext|>", ",", ".", "_", "5"]), max_size=40))
 def test_piece_encoder(parts):
     text = "".join(parts)
     enc = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), "<u2")
