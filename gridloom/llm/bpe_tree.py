@@ -20,6 +20,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from gridloom.llm.textkit import slices
+
 LEAF_CHARS = 1 << 13
 WINDOW_CHARS = 64
 
@@ -110,7 +112,7 @@ def encode_documents(docs: DataFrame, rank_file: str, id_col: str = "doc_id", te
 
     def run(batches):
         enc, lengths, table = load_encoding(rank_file)
-        for b in batches:
+        for b in slices(batches):
             n, sha, back, raws = [], [], [], []
             for text in b.column(text_col).to_pylist():
                 ids = encode(text or "", enc, lengths).ids

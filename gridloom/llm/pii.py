@@ -14,6 +14,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridloom.llm.textkit import slices
+
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the base kinds.
 EXTRA_KINDS = ("account", "url_login")
@@ -167,7 +169,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         automaton = build_automaton()
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in b.column(text_col).to_pylist():
                 found = find_spans(text or "", automaton)

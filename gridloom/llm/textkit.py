@@ -80,6 +80,13 @@ def chunks(ids: pa.Array, texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator
         i = j
 
 
+def slices(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that Python objects of one slice exist at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def batch_chunks(batches, id_col: str, text_col: str, limit: int = CHUNK_BYTES):
     for b in batches:
         yield from chunks(b.column(id_col), b.column(text_col), limit)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.sparkkit import Table
+from gridloom.llm.textkit import slices
 
 #: Bounds of fitting: toxic and other labelled rows used, entries kept. More of the others, so that rare words rarely are toxic by chance.
 MAX_TOXIC, MAX_OTHER, MAX_ENTRIES = 4_000, 20_000, 2_000
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_othe
     rate = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches):
             c = [Counter(), Counter()]
             for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 c[y].update(features(fold(text or "")))
@@ -186,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_othe
 
         def measured(batches):
             a = automaton_of.automaton()
-            for b in batches:
+            for b in slices(batches):
                 m = [measure(t or "", a) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(m, pa.list_(pa.float64())), b.column("toxic")], names=["m", "y"])
 
@@ -207,7 +208,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None =
 
     def run(batches):
         a = lexicon.automaton()
-        for b in batches:
+        for b in slices(batches):
             s = [score_of(measure(t or "", a), lexicon.coef) for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], names=[*keep, "score", "predicted"])
 
