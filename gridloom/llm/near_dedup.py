@@ -125,8 +125,9 @@ def _pairs(crowded: DataFrame) -> DataFrame:
     """a > b: all pairs of small nodes, members against leaders in the others. In large nodes the leaders are those that other nodes of a group are likely to have too, so a group gives a few pairs a member."""
     small = crowded.where(f"n <= {SMALL_NODE}").groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     small = small.selectExpr("explode(flatten(transform(ids, (x, i) -> transform(slice(ids, 1, i), y -> struct(x AS a, y AS b))))) AS p").selectExpr("p.a", "p.b")
-    leaders = f"array(least, if(n <= {LARGE_NODE}, own, shared))"
-    star = crowded.where(f"n > {SMALL_NODE}").selectExpr(f"explode(transform(array_distinct({leaders}), y -> struct(greatest(id, y) AS a, least(id, y) AS b))) AS p").selectExpr("p.a", "p.b")
+    large = crowded.where(f"n > {SMALL_NODE}")
+    star = large.selectExpr("id", "least AS y").unionByName(large.selectExpr("id", f"if(n <= {LARGE_NODE}, own, shared) AS y")).distinct()
+    star = star.selectExpr("greatest(id, y) AS a", "least(id, y) AS b")
     return small.unionByName(star).where("a > b")
 
 
