@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.graph import components
 from gridloom.llm.sparkkit import Table
-from gridloom.llm.textkit import batch_chunks, mix64, shingle_sets
+from gridloom.llm.textkit import batch_chunks, mix64, shingle_sets, slices
 
 COORDS = 128
 TREES, DEPTH, MORE_DEPTH = 20, 3, 4
@@ -150,7 +150,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Pairs (a, b) with 100 * |both| >= share * |either|, counted on full sets."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             x, y = b.column("sa").to_pylist(), b.column("sb").to_pylist()
             ok = []
             for p, q in zip(x, y):
