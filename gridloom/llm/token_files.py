@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm.sparkkit import fresh_path, shuffle_partitions
+from gridloom.llm.textkit import batch_chunks, chunks, prefix_hash, range_hash
 
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
-#: Pieces in each of the cache's two generations.
-CACHE_ENTRIES = 200_000
+#: Pieces that the table holds before it begins anew.
+CACHE_ENTRIES = 1_500_000
 #: Bytes of text for one file, about.
 FILE_BYTES = 32 << 20
 
@@ -67,68 +68,135 @@ def load_tokenizer(path: str) -> Tokenizer:
     return t
 
 
-#: Where a blank, line feed, comma or full stop may not begin a match of the split pattern.
-_NOT_A_CUT = re.compile(r"\s[ \n]|[\W_][,.]|\x00")
+#: Pieces of more bytes are encoded each time, not remembered by hash.
+MAX_KNOWN_BYTES = 64
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_IS_ALNUM = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+#: White space beyond ASCII, as UTF-8.
+_WIDE_SPACES = re.compile(b"\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+class _Known:
+    """Ids of pieces by the piece's 64-bit hash: a sorted table."""
+
+    def __init__(self, dtype: np.dtype):
+        self.hashes, self.start, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 if unknown."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+    def add(self, h: np.ndarray, begin: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        order, start = np.argsort(h), begin + len(self.ids)
+        at = np.searchsorted(self.hashes, h[order])
+        self.hashes = np.insert(self.hashes, at, h[order])
+        self.start, self.size = np.insert(self.start, at, start[order]), np.insert(self.size, at, sizes[order])
+        self.ids = np.concatenate((self.ids, ids))
 
 
 @functools.lru_cache(maxsize=2)
-def _cache(path: str, dtype: str) -> list[dict[str, bytes]]:
-    """Ids of pieces by piece, now and in the last generation; one for each worker process."""
-    return [{}, {}]
+def _cache(path: str, dtype: str) -> list[_Known]:
+    """One table for each worker process."""
+    return [_Known(np.dtype(dtype))]
+
+
+def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece, each distinct piece once while it stays in a bounded cache.
+    """Encodes texts piece by piece, each distinct piece once while it stays in a bounded table.
 
     Pieces are cut where the split pattern must begin a match whatever comes
     before: a blank or line feed after a non-space, a comma or full stop after
-    a letter or digit. So pieces encode as they do within the text. New pieces
+    an ASCII letter or digit. So pieces encode as they do within the text.
+    Pieces are found, told apart and looked up by hash in numpy. New pieces
     are encoded together, again because cuts there change nothing, and told
     apart by their lengths in bytes.
     """
 
     def __init__(self, path: str, dtype: str):
-        self.tokenizer, self.dtype, self.generations = load_tokenizer(path), np.dtype(dtype), _cache(path, dtype)
+        self.tokenizer, self.dtype, self.table = load_tokenizer(path), np.dtype(dtype), _cache(path, dtype)
         self.lengths = _byte_lengths(path)
 
-    def pieces(self, text: str) -> list[str]:
-        if _NOT_A_CUT.search(text) is None:
-            return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(",", "\0,").replace(".", "\0.").split("\0")
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
-            if out[-1] and not out[-1][-1].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
-
-    def _learn(self, new: list[str], known: dict[str, bytes]) -> None:
-        """Encode pieces that begin with a blank or line feed and end with a non-space as one text, others alone."""
-        joint = [p for p in new if p[:1] in (" ", "\n") and not p[-1:].isspace() and "<|" not in p]
-        for at in range(0, len(joint), 4096):
-            part = joint[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
-            raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            a = 0
-            for p, b in zip(part, (ends * size).tolist()):
-                known[p] = raw[a:b]
-                a = b
-        alone = [p for p in new if p not in known]
-        for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            known[p] = np.array(e.ids, self.dtype).tobytes()
+    @staticmethod
+    def cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Starts of the pieces of the texts buf[offs[i]:offs[i+1]]."""
+        space = _IS_SPACE[buf]
+        cut = np.zeros(len(buf) + 1, bool)
+        cut[1:-1] = ((buf[1:] == 32) | (buf[1:] == 10)) & ~space[:-1] | ((buf[1:] == 44) | (buf[1:] == 46)) & _IS_ALNUM[buf[:-1]]
+        if (buf >= 0xC2).any():
+            for m in _WIDE_SPACES.finditer(buf.tobytes()):
+                cut[m.end()] = False
+        cut[offs] = True
+        cut[-1] = False
+        return np.flatnonzero(cut)
+
+    def _encode_new(self, raw: bytes, buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each piece raw[a:b] has its ids, how many, and all ids."""
+        first, last = buf[a], buf[b - 1]
+        joint = ((first == 32) | (first == 10)) & ~_IS_SPACE[last] & (last < 128) & (b - a > 1)
+        sizes, begin, out, done = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), [], 0
+        k = np.flatnonzero(joint)
+        for at in range(0, len(k), 4096):
+            part = k[at : at + 4096]
+            text = b"".join([raw[x:y] for x, y in zip(a[part].tolist(), b[part].tolist())]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(b[part] - a[part])) + 1
+            begin[part] = done + np.concatenate(([0], ends[:-1]))
+            sizes[part] = np.diff(np.concatenate(([0], ends)))
+            out.append(ids)
+            done += len(ids)
+        k = np.flatnonzero(~joint)
+        for i, e in zip(k.tolist(), self.tokenizer.encode_batch_fast([raw[x:y].decode() for x, y in zip(a[k].tolist(), b[k].tolist())], add_special_tokens=False)):
+            begin[i], sizes[i] = done, len(e.ids)
+            out.append(np.array(e.ids, np.int64))
+            done += len(e.ids)
+        return begin, sizes, np.concatenate(out).astype(self.dtype) if out else np.zeros(0, self.dtype)
+
+    def encode_buffer(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in order, and the ids' offsets by text."""
+        if not len(buf):
+            return np.zeros(0, self.dtype), np.zeros(len(offs), np.int64)
+        if len(self.table[0].hashes) > CACHE_ENTRIES:
+            self.table[0] = _Known(self.dtype)
+        known, raw = self.table[0], buf.tobytes()
+        starts = self.cuts(buf, offs)
+        ends = np.append(starts[1:], len(buf))
+        h = range_hash(prefix_hash(buf), starts, ends)
+        h[ends - starts > MAX_KNOWN_BYTES] |= np.uint64(1)
+        h[ends - starts <= MAX_KNOWN_BYTES] &= ~np.uint64(1)
+        uniq, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        long = np.flatnonzero(ends[at] - starts[at] > MAX_KNOWN_BYTES)
+        row = known.find(uniq)
+        row[long] = -1
+        new = np.flatnonzero((row < 0) & ~(uniq & np.uint64(1)).astype(bool))
+        if len(new):
+            known.add(uniq[new], *self._encode_new(raw, buf, starts[at[new]], ends[at[new]]))
+            row = known.find(uniq)
+        begin, size = known.start[row], known.size[row]
+        store = known.ids
+        if len(long):  # every long piece by itself
+            every = np.flatnonzero(ends - starts > MAX_KNOWN_BYTES)
+            first, sizes, ids = self._encode_new(raw, buf, starts[every], ends[every])
+            piece_begin, piece_size = begin[inverse], size[inverse]
+            piece_begin[every], piece_size[every] = len(store) + first, sizes
+            store = np.concatenate((store, ids))
+        else:
+            piece_begin, piece_size = begin[inverse], size[inverse]
+        total = np.concatenate(([0], np.cumsum(piece_size)))
+        return store[_ragged(piece_begin, piece_size)], total[np.searchsorted(starts, offs)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.generations[0]) > CACHE_ENTRIES:
-            self.generations[:] = [{}, self.generations[0]]
-        known, old = self.generations
-        cut = [self.pieces(t) for t in texts]
-        new = set().union(*cut).difference(known)
-        known.update([(p, old[p]) for p in new.intersection(old)])
-        self._learn(list(new.difference(known)), known)
-        find = known.__getitem__
-        return [b"".join(map(find, ps)) for ps in cut]
+        out: list[bytes] = []
+        for _, buf, offs in chunks(pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())):
+            ids, at = self.encode_buffer(buf, offs)
+            out += [ids[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -160,13 +228,12 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: i
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc = PieceEncoder(tokenizer_file, dtype)
         tail = np.array([end_id], dtype).tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = part.column("doc_id").to_pylist()
-                # The first eight payload bytes name the document; -2**63 stands for a null id.
-                rows = [frame(struct.pack("<q", -(1 << 63) if i is None else i) + p + tail) for i, p in zip(ids, enc.encode_batch([t or "" for t in part.column("text").to_pylist()]))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[:-1] for r in rows], pa.binary())], names=["record"])
+        for doc_ids, buf, offs in batch_chunks(batches, "doc_id", "text"):
+            ids, at = enc.encode_buffer(buf, offs)
+            # The first eight payload bytes name the document; -2**63 stands for a null id.
+            names = [struct.pack("<q", -(1 << 63) if i is None else i) for i in doc_ids.to_pylist()]
+            rows = [frame(n + ids[x:y].tobytes() + tail)[:-1] for n, x, y in zip(names, at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["record"])
 
     ordered.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
     read_records(spark, path, width).write.parquet(f"{path}/index")

@@ -354,3 +354,11 @@ def test_piece_encoder(parts):
     text = "".join(parts)
     enc = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), "<u2")
     assert np.frombuffer(enc.encode_batch([text])[0], "<u2").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ab", " ab", ",", ".", "\n", " ", "\n\n", "é", "\xa0", "　", "x" * 70, " tail,", "9.5", "_,"]), max_size=12), min_size=1, max_size=5))
+def test_piece_encoder_many_texts(parts):
+    texts = ["".join(p) for p in parts]
+    enc = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), "<u2")
+    assert [np.frombuffer(b, "<u2").tolist() for b in enc.encode_batch(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
