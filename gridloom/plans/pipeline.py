@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.clean import clean_value, is_month_day
 from gridloom.operators import auto
-from gridloom.operators.aggregate import check_aggs, subtotals, summarize
+from gridloom.operators.aggregate import check_aggs, normalize_agg_func, subtotals, summarize
 from gridloom.operators.dedup import LINEAGE, deduplicate
+from gridloom.operators.notes import count_cells, empty_columns, missing_columns
 from gridloom.operators.pivot import pivot_summarize, split_values
 from gridloom.operators.repair import FILE_NAMED, pad_codes, rename_by_file
 from gridloom.operators.schema import AliasStore, column_order, column_types, resolve, suggest_for_columns
@@ -42,19 +43,21 @@ class Tables:
 
     bronze: DataFrame
     plans: list[tuple[str, str, list[str], list]]  # file, sheet, headers, suggestions
+    header_rows: dict[tuple[str, str], int]
 
 
 def plan_tables(spark: SparkSession, spec: TaskSpec, store: AliasStore, issues: Issues) -> Tables:
     bronze = read_folder(spark, spec.input_folder, spec.recursive, tuple(spec.excluded), spec.header_rows).persist()
-    plans = []
+    plans, header_rows = [], {}
     for r in bronze.where("kind = 'header'").orderBy("file", "sheet_ord").collect():  # one row a sheet
         found, conflicts = suggest_for_columns(r["cells"], store, spec.column_mapping)
         plans.append((r["file"], r["sheet"], r["cells"], found))
+        header_rows[r["file"], r["sheet"]] = r["row_no"]
         for c in conflicts:
             issues.add(WARNING, r["file"], r["sheet"], kind="表头映射冲突", message=c)
     notes = bronze.where("kind = 'issue'").withColumn("n", F.split("note", r"\|", 3))
     issues.add_frame(notes.select(F.col("n")[0].alias(COLUMNS[0]), F.col("file").alias(COLUMNS[1]), F.col("sheet").alias(COLUMNS[2]), F.col("row_no").alias(COLUMNS[3]), F.lit("").alias(COLUMNS[4]), F.col("n")[1].alias(COLUMNS[5]), F.lit(None).alias(COLUMNS[6]), F.col("n")[2].alias(COLUMNS[7])))
-    return Tables(bronze, plans)
+    return Tables(bronze, plans, header_rows)
 
 
 def _admit(tables: Tables, spec: TaskSpec, store: AliasStore, issues: Issues) -> list[tuple[str, str, list[str], list[str | None]]]:
@@ -82,16 +85,18 @@ def build_detail(spark: SparkSession, spec: TaskSpec, store: AliasStore, issues:
     columns = column_order([t for p in admitted for t in p[3] if t], store)
     types = column_types(columns, store, spec.column_types, spec.aggregations)
     sources = {c: sorted({h for _, _, hs, ts in admitted for h, t in zip(hs, ts) if t == c}) for c in columns}
-    places = [(f, s, [next((i for i, t in enumerate(ts) if t == c), -1) for c in columns], [next((h for h, t in zip(hs, ts) if t == c), c) for c in columns]) for f, s, hs, ts in admitted]
-    plan = spark.createDataFrame(places, "file string, sheet string, at array<int>, heads array<string>")
+    _note_missing(tables, admitted, [c for c in columns if c in store.columns], issues)
+    places = [(f, s, tables.header_rows[f, s], [next((i for i, t in enumerate(ts) if t == c), -1) for c in columns], [next((h for h, t in zip(hs, ts) if t == c), c) for c in columns]) for f, s, hs, ts in admitted]
+    plan = spark.createDataFrame(places, "file string, sheet string, header_row int, at array<int>, heads array<string>")
     # The plan has one row a sheet; Spark broadcasts it if its size allows.
     raw = tables.bronze.where("kind = 'row'").join(plan, ["file", "sheet"])
     cell = {c: F.get("cells", F.get("at", F.lit(i))) for i, c in enumerate(columns)}
-    raw = raw.select(F.col("file").alias(FILE), F.col("sheet").alias(SHEET), F.col("row_no").alias(ROW), F.col("sheet_ord").alias(ORD), "heads", *(cell[c].alias(f"r{i}") for i, c in enumerate(columns)))
+    raw = raw.select(F.col("file").alias(FILE), F.col("sheet").alias(SHEET), F.col("row_no").alias(ROW), F.col("sheet_ord").alias(ORD), "header_row", "at", "heads", *(cell[c].alias(f"r{i}") for i, c in enumerate(columns)))
     dates = [i for i, c in enumerate(columns) if types[c] == "date"]
     if dates:
         raw = _with_year(raw, dates, today)
     cleaned = raw.select("*", *(clean_value(F.col(f"r{i}"), types[c], F.col("_year") if i in dates else None).alias(f"c{i}") for i, c in enumerate(columns)))
+    _note_cells(cleaned, columns, dates, spec, issues)
     wrong = [F.struct(F.get("heads", F.lit(i)).alias("head"), F.lit(c).alias("target"), F.col(f"r{i}").alias("value"), F.col(f"c{i}.err").alias("err"), F.lit("日期无法识别" if types[c] == "date" else "数值无法转换").alias("kind")) for i, c in enumerate(columns)]
     if wrong:
         bad = cleaned.select(FILE, SHEET, ROW, F.explode(F.filter(F.array(*wrong), lambda x: x["err"].isNotNull())).alias("x"))
@@ -113,6 +118,33 @@ def build_detail(spark: SparkSession, spec: TaskSpec, store: AliasStore, issues:
     return detail, types, sources
 
 
+def _note_missing(tables: Tables, admitted: list, standard: list[str], issues: Issues) -> None:
+    with_rows = {(r["file"], r["sheet"]) for r in tables.bronze.where("kind = 'row'").select("file", "sheet").distinct().collect()}  # one row a sheet
+    for (file, name), gone in missing_columns({(f, s): set(filter(None, ts)) for f, s, _, ts in admitted}, with_rows, standard).items():
+        issues.add(INFO, file, name, tables.header_rows[file, name], kind="缺少列", message=f"该 Sheet 缺少列：{'、'.join(gone)}（明细中留空）")
+
+
+def _note_cells(cleaned: DataFrame, columns: list[str], dates: list[int], spec: TaskSpec, issues: Issues) -> None:
+    """Counts of empty cells of summed or averaged columns, and of dates that got their year from elsewhere, for each sheet and column it has."""
+    measured = {c for c, f in spec.aggregations if normalize_agg_func(f) in ("求和", "平均")}
+    empty = {str(i): (F.get("at", F.lit(i)) >= 0) & F.col(f"c{i}.v").isNull() & F.col(f"c{i}.err").isNull() for i, c in enumerate(columns) if c in measured}
+    no_year = {str(i): F.col(f"c{i}.v").isNotNull() & is_month_day(F.col(f"r{i}")) for i in dates}
+    year = F.col("_year").cast("string") if dates else F.lit(None)
+    for flags, kind, words in ((empty, "空值", (" 个空值（未填写，如未盘点），汇总时不按 0 计算",)), (no_year, "日期补全年份", (" 个日期没写年份（如 9.30、9月30日），已按 ", year, " 年处理"))):
+        if flags:
+            found = count_cells(cleaned, [FILE, SHEET, "header_row", "heads", *(["_year"] if flags is no_year else [])], flags)
+            text = F.concat(F.lit("有 "), F.col("n").cast("string"), *(F.lit(w) if isinstance(w, str) else w for w in words))
+            issues.add_frame(found.select(F.lit(INFO).alias(COLUMNS[0]), F.col(FILE).alias(COLUMNS[1]), F.col(SHEET).alias(COLUMNS[2]), F.col("header_row").alias(COLUMNS[3]), F.get("heads", F.col("column").cast("int")).alias(COLUMNS[4]), F.lit(kind).alias(COLUMNS[5]), F.lit(None).alias(COLUMNS[6]), text.alias(COLUMNS[7])))
+
+
+def _note_settings(spec: TaskSpec, detail: DataFrame, types: dict[str, str], issues: Issues) -> None:
+    for c in empty_columns(detail, [c for c, _ in spec.aggregations]):
+        issues.add(WARNING, column=c, kind="汇总设置", message=f"汇总列“{c}”在所有数据中都是空的，汇总结果为 0 或空；请检查是否选错了汇总列（例如盘点表通常汇总“账面数量”“实盘数量”）")
+    for c in spec.group_by:
+        if types.get(c) == "number":
+            issues.add(WARNING, column=c, kind="汇总设置", message=f"分组列“{c}”是数值列，按它分组通常没有意义；数值列一般放在“汇总列”里求和")
+
+
 def _with_year(raw: DataFrame, dates: list[int], today: dt.date) -> DataFrame:
     """_year for dates without one: the sheet's most frequent year, else everyone's, else today's; first seen wins ties."""
     place = F.struct(*(F.col(o) for o in ORDER))
@@ -146,6 +178,7 @@ def run(spark: SparkSession, spec: TaskSpec, store: AliasStore | None = None, no
         again = marked.where("is_duplicate")
         issues.add_frame(again.select(F.lit(WARNING).alias(COLUMNS[0]), F.col(FILE).alias(COLUMNS[1]), F.col(SHEET).alias(COLUMNS[2]), F.col(ROW).alias(COLUMNS[3]), F.lit("").alias(COLUMNS[4]), F.lit("重复记录").alias(COLUMNS[5]), F.lit(None).alias(COLUMNS[6]), F.concat(F.lit("与 "), f"first_place.`{FILE}`", F.lit(" 第 "), f"first_place.`{ROW}`", F.lit(" 行重复")).alias(COLUMNS[7])))
         marked = marked.drop("is_duplicate", "first_place")
+    _note_settings(spec, marked, types, issues)
     summary, plan, aggs = make_summary(spec, marked, types, sources, store, issues)
     shown = marked.orderBy(*ORDER).drop(ORD)
     result = RunResult(shown, summary, None, None, plan)

@@ -10,8 +10,10 @@ from gridloom.functions.natural import natural_key_udf
 from gridloom.operators import auto, schema
 from gridloom.operators.aggregate import subtotals, summarize
 from gridloom.operators.dedup import deduplicate
-from gridloom.operators.pivot import pivot_summarize
-from gridloom.operators.repair import dominant_year, pad_codes
+from gridloom.operators.extract import build_table
+from gridloom.operators.notes import count_cells
+from gridloom.operators.pivot import pivot_summarize, split_values
+from gridloom.operators.repair import dominant_year, pad_codes, rename_by_file
 from gridloom.operators.union import union_mapped
 from gridloom.plans.issues import Issues
 
@@ -188,6 +190,48 @@ def issues_counts(spark, sf):
     return issues.counts(spark).select(F.col("严重程度").alias("severity"), "n")
 
 
+def note_empty_cells(spark, sf):
+    """Empty cells of two measures for each slice."""
+    lines = _t(spark, sf, "lineitem").selectExpr("l_returnflag", "l_shipdate", "nullif(l_discount, 0) AS l_discount", "nullif(l_tax, 0) AS l_tax")
+    return count_cells(lines, ["l_returnflag"], {c: F.col(c).isNull() for c in ("l_discount", "l_tax")})
+
+
+def extract_tables(spark, sf):
+    """Suppliers as grids, one a nation, with a title, a repeated header, a total row and a note; the tables' rows come back."""
+    grids = _t(spark, sf, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("rows"))
+
+    def parse(frames):
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for nation, rows in zip(frame["s_nationkey"], frame["rows"]):
+                cells = [[str(r["s_suppkey"]), r["s_name"], "x", None] for r in rows]
+                half = len(cells) // 2
+                grid = [["名单", None, None, None], ["编码", "名称", "备注", "空"], *cells[:half], ["名称", "编码", "备注", "空"], *([b, a, c, d] for a, b, c, d in cells[half:]), ["1", "合计", None, None], ["制表人甲", None, None, None]]
+                out += [(nation, int(c[0]), c[1]) for kind, _, c, _ in build_table(grid) if kind == "row"]
+            yield pd.DataFrame(out, columns=["nation", "suppkey", "name"]).astype({"nation": "int32", "suppkey": "int64"})
+
+    return grids.mapInPandas(parse, "nation int, suppkey long, name string")
+
+
+def split_partitions(spark, sf):
+    parts = split_values(_t(spark, sf, "orders").withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'P')")), "o_orderstatus")
+    return spark.createDataFrame([(k, label) for k, (_, label) in enumerate(parts)], "place int, label string")
+
+
+def rename_files(spark, sf):
+    """Customers of segments as files that hold one name each; where that is another file's, the own one replaces it."""
+    files = _t(spark, sf, "customer").selectExpr("c_custkey", "c_mktsegment AS stem", "if(c_mktsegment = 'BUILDING', 'MACHINERY', if(c_mktsegment = 'FURNITURE', 'ELSEWHERE', c_mktsegment)) AS name")
+    return rename_by_file(files, "name", "stem").select("c_custkey", "name", F.col("renamed").cast("int").alias("renamed"))
+
+
+def distinct_values(spark, sf):
+    """Distinct business rows: duplicates dropped over all columns but the lineage."""
+    rows = _t(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_orderkey").alias("原始行号"))
+    return deduplicate(rows, "drop", [], ["原始行号"]).select("l_returnflag", "l_linestatus")
+
+
 def consolidate_flagship(spark, sf):
     """Three differently headed slices, mapped, cleaned, de-duplicated and summarised with a grand total."""
     lines = _t(spark, sf, "lineitem").withColumn("dirty", F.expr("concat(format_number(l_extendedprice, 2), '元')"))
@@ -203,7 +247,7 @@ def consolidate_flagship(spark, sf):
 
 
 def queries() -> dict:
-    names = [summarize_sum_total, summarize_multi_group, summarize_all_funcs, summarize_date_max, summarize_null_group, summarize_no_group, summarize_count_only, summarize_empty_measure, summarize_bad_requests, pivot_single, pivot_multi, pivot_count, pivot_no_group, pivot_avg_margins, dedup_mark_keys, dedup_drop_keys, dedup_drop_all, split_subtotals, auto_summary_key_entity, auto_name_vote, auto_plan, clean_number_roundtrip, clean_date_roundtrip, clean_code, clean_text, pad_codes_width, union_mapped_headers, year_vote, natural_sort_rank, issues_counts, consolidate_flagship]
+    names = [summarize_sum_total, summarize_multi_group, summarize_all_funcs, summarize_date_max, summarize_null_group, summarize_no_group, summarize_count_only, summarize_empty_measure, summarize_bad_requests, pivot_single, pivot_multi, pivot_count, pivot_no_group, pivot_avg_margins, dedup_mark_keys, dedup_drop_keys, dedup_drop_all, split_subtotals, auto_summary_key_entity, auto_name_vote, auto_plan, clean_number_roundtrip, clean_date_roundtrip, clean_code, clean_text, pad_codes_width, union_mapped_headers, year_vote, natural_sort_rank, issues_counts, note_empty_cells, extract_tables, split_partitions, rename_files, distinct_values, consolidate_flagship]
     return {f.__name__: f for f in names}
 
 
@@ -244,5 +288,10 @@ def oracle_sql() -> dict[str, str]:
         "year_vote": "WITH v AS (SELECT o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, min(o_orderkey) AS p FROM orders GROUP BY ALL) SELECT o_orderstatus, y AS year FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, p) AS r FROM v) WHERE r = 1",
         "natural_sort_rank": "SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS rank FROM supplier",
         "issues_counts": "SELECT '错误' AS severity, count(*) AS n FROM events WHERE event_id % 10 = 0 UNION ALL SELECT '警告', 1",
+        "note_empty_cells": """SELECT l_returnflag, 'l_discount' AS "column", count(*) AS n FROM lineitem WHERE l_discount = 0 GROUP BY ALL UNION ALL SELECT l_returnflag, 'l_tax', count(*) FROM lineitem WHERE l_tax = 0 GROUP BY ALL""",
+        "extract_tables": "SELECT s_nationkey AS nation, s_suppkey AS suppkey, s_name AS name FROM supplier",
+        "split_partitions": "SELECT CAST(row_number() OVER (ORDER BY s NULLS LAST) - 1 AS INTEGER) AS place, coalesce(s, '(空)') AS label FROM (SELECT DISTINCT nullif(o_orderstatus, 'P') AS s FROM orders)",
+        "rename_files": "SELECT c_custkey, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'ELSEWHERE' ELSE c_mktsegment END AS name, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS renamed FROM customer",
+        "distinct_values": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
         "consolidate_flagship": "WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY round(l_extendedprice, 2), l_returnflag) AS rn FROM lineitem) WHERE rn = 1) SELECT CASE WHEN grouping(l_returnflag) = 1 THEN '总计' ELSE l_returnflag END AS flag, round(sum(round(l_extendedprice, 2)), 2) AS amount, count(*) AS n FROM k GROUP BY GROUPING SETS ((l_returnflag), ())",
     }

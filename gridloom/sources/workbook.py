@@ -1,4 +1,4 @@
-"""Folders of csv and xlsx files as one bronze frame, one row for each table row.
+"""Folders of csv files and workbooks as one bronze frame, one row for each table row.
 
 Each file is parsed where Spark reads it (binaryFile to mapInPandas): a file is
 one compressed container, so the file is the unit of work. Headers come along
@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.extract import build_table
+from gridloom.sources.biff import MAGIC, xls_grids
+from gridloom.sources.grid import DATE_FORMATS, ERROR_TEXT, date_text, fill_merged, is_date_format, number_text
+from gridloom.sources.xlsb import xlsb_grids
 
 EXTENSIONS = (".xlsx", ".xlsm", ".xls", ".xlsb", ".csv")
 OWN_PREFIX = "汇总结果_"
@@ -27,8 +30,6 @@ CSV_SHEET = "CSV"
 BRONZE = "file string, sheet string, sheet_ord int, kind string, row_no int, cells array<string>, note string"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-#: Built-in number formats that are dates or times.
-_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
 
 def decode_csv(data: bytes) -> str:
@@ -92,13 +93,8 @@ def _date_styles(z: zipfile.ZipFile) -> set[int]:
     if "xl/styles.xml" not in z.namelist():
         return set()
     root = ElementTree.fromstring(z.read("xl/styles.xml"))
-    custom = {int(n.get("numFmtId")) for n in root.iterfind("m:numFmts/m:numFmt", _NS) if re.search("[ymdhs年月日]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", n.get("formatCode", "")), re.I)}
-    return {i for i, x in enumerate(root.iterfind("m:cellXfs/m:xf", _NS)) if int(x.get("numFmtId", 0)) in _DATE_FORMATS | custom}
-
-
-def _date_text(serial: float) -> str:
-    t = pd.Timestamp("1899-12-30") + pd.to_timedelta(round(serial * 86400), unit="s")
-    return t.strftime("%Y-%m-%d") if t == t.normalize() else t.strftime("%Y-%m-%d %H:%M:%S")
+    custom = {int(n.get("numFmtId")): is_date_format(n.get("formatCode", "")) for n in root.iterfind("m:numFmts/m:numFmt", _NS)}
+    return {i for i, x in enumerate(root.iterfind("m:cellXfs/m:xf", _NS)) if custom.get(int(x.get("numFmtId", 0)), int(x.get("numFmtId", 0)) in DATE_FORMATS)}
 
 
 def xlsx_grid(z: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]) -> list[list]:
@@ -117,16 +113,8 @@ def xlsx_grid(z: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]
             el.clear()
         elif tag == "mergeCell":
             merges.append(el.get("ref"))
-    for ref in merges:
-        a, _, b = ref.partition(":")
-        rows = [int(re.sub(r"\D", "", x)) - 1 for x in (a, b or a)]
-        cols = [_column(x) for x in (a, b or a)]
-        first = grid[rows[0]][cols[0]] if rows[0] < len(grid) and cols[0] < len(grid[rows[0]]) else None
-        if first is None:
-            continue
-        for r in range(rows[0], min(rows[1] + 1, len(grid))):
-            grid[r].extend([None] * (cols[1] + 1 - len(grid[r])))
-            grid[r][cols[0] : cols[1] + 1] = [first] * (cols[1] - cols[0] + 1)
+    corners = [[(int(re.sub(r"\D", "", x)) - 1, _column(x)) for x in (ref.split(":") * 2)[:2]] for ref in merges]
+    fill_merged(grid, [(a[0], b[0], a[1], b[1]) for a, b in corners])
     return grid
 
 
@@ -137,16 +125,15 @@ def _cell(c, strings: list[str], dates: set[int]) -> str | None:
         return text or None
     v = c.find("m:v", _NS)
     if v is None or v.text is None:
-        return "#错误" if kind == "e" else None
+        return ERROR_TEXT if kind == "e" else None
     if kind == "s":
         return strings[int(v.text)] or None
     if kind == "b":
         return "True" if v.text == "1" else "False"
     if kind == "n" and int(c.get("s", 0)) in dates:
-        return _date_text(float(v.text))
+        return date_text(float(v.text))
     if kind == "n":
-        x = float(v.text)
-        return str(int(x)) if x.is_integer() and abs(x) < 1e15 else repr(x)
+        return number_text(float(v.text))
     return v.text
 
 
@@ -155,7 +142,13 @@ def grids(name: str, data: bytes):
     if name.lower().endswith(".csv"):
         yield CSV_SHEET, csv_grid(data)
         return
+    if data.startswith(MAGIC):
+        yield from xls_grids(data)
+        return
     with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if "xl/workbook.bin" in z.namelist():
+            yield from xlsb_grids(z)
+            return
         strings: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             strings = ["".join(t.text or "" for t in si.iterfind(".//m:t", _NS)) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", _NS)]

@@ -1,7 +1,10 @@
 """The engine's operators on small frames and folders, and parity queries against DuckDB."""
 
 import datetime as dt
+import io
 import math
+import struct
+import zipfile
 
 import duckdb
 import pytest
@@ -14,11 +17,14 @@ from gridloom.operators import auto, schema
 from gridloom.operators.aggregate import normalize_agg_func, subtotals, summarize
 from gridloom.operators.dedup import deduplicate
 from gridloom.operators.extract import build_table, detect_header_row
+from gridloom.operators.notes import count_cells, empty_columns, missing_columns
 from gridloom.operators.pivot import pivot_summarize
 from gridloom.plans import queries
 from gridloom.plans.config import TaskSpec
 from gridloom.plans.pipeline import run
 from gridloom.sinks.xlsx import safe_filename, safe_sheet_title, write_xlsx
+from gridloom.sources import biff, xlsb
+from gridloom.sources.grid import date_text, is_date_format
 from gridloom.sources.workbook import decode_csv, grids, read_folder
 
 SF = "/root/testdata/sf0.001"
@@ -155,7 +161,7 @@ def test_end_to_end(spark, folder, tmp_path):
     assert [(d["日期"].date().isoformat(), d["门店"], d["商品编码"], d["数量"], d["金额"], d["来源文件"], d["原始行号"]) for d in detail] == [("2026-01-02", "A", "007", 1.0, 2.5, "a.xlsx", 2), ("2026-01-03", "B", "008", 2.0, 5.0, "a.xlsx", 3), ("2026-01-02", "A", "007", 1.0, 2.5, "b.csv", 2), ("2026-01-05", "C", "009", None, 4.0, "b.csv", 3)]
     assert [tuple(x) for x in r.summary.collect()] == [("A", 5.0, 2.0), ("B", 5.0, 2.0), ("C", 4.0, 0.0), ("总计", 14.0, 4.0)]
     kinds = [x["问题类型"] for x in r.issues.collect()]
-    assert sorted(set(kinds)) == sorted(["文件读取失败", "数值无法转换", "空文件/空Sheet", "重复记录", "跳过合计行"])
+    assert sorted(set(kinds)) == sorted(["文件读取失败", "数值无法转换", "日期补全年份", "空文件/空Sheet", "重复记录", "跳过合计行"])
     with open(r.output_path, "rb") as f:
         sheets = dict(grids("x.xlsx", f.read()))
     assert list(sheets) == ["汇总", "A", "B", "C", "明细", "问题清单"] and len(sheets["明细"]) == 5 and sheets["A"][-1][1] == "小计"
@@ -183,3 +189,92 @@ def test_names():
     taken = set()
     assert [safe_sheet_title(t, taken) for t in ("a/b", "A_B", "x" * 40)] == ["a_b", "A_B_2", "x" * 31]
     assert safe_filename("con", set()) == "_con"
+
+
+def compound(stream):
+    """A compound file with one Workbook stream of at least 4096 bytes."""
+    stream += bytes(-len(stream) % 512 + (4096 if len(stream) < 4096 else 0))
+    n = len(stream) // 512
+    fat = [0xFFFFFFFD, 0xFFFFFFFE, *range(3, n + 2), 0xFFFFFFFE]
+    fat += [0xFFFFFFFF] * (128 - len(fat))
+    entry = lambda name, kind, start, size: (name + "\0").encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + bytes(48) + struct.pack("<IQ", start, size)
+    head = biff.MAGIC + bytes(16) + struct.pack("<5H", 62, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<9I", 0, 1, 1, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    return head + struct.pack("<128I", *fat) + (entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("Workbook", 2, 2, len(stream))).ljust(512, b"\0") + stream
+
+
+def old_workbook():
+    rec = lambda kind, body=b"": struct.pack("<HH", kind, len(body)) + body
+    text = lambda t: struct.pack("<HB", len(t), 1) + t.encode("utf-16-le")
+    words = ["日期", "门店", "数量", "金额", "一店"]
+    body = b"".join(text(w) for w in words)
+    cut = len(b"".join(text(w) for w in words[:4])) + 3 + 2  # within the last word
+    globals_ = [rec(0x809, bytes(16)), rec(0x22, b"\0\0"), rec(0x41E, struct.pack("<H", 170) + text("[h]:mm\"d\"")), rec(0xE0, struct.pack("<HH", 0, 0) + bytes(16)), rec(0xE0, struct.pack("<HH", 0, 14) + bytes(16)), rec(0xFC, struct.pack("<II", 5, 5) + body[:cut]), rec(0x3C, b"\x01" + body[cut:])]
+    sheet_head = lambda at: rec(0x85, struct.pack("<IBBBB", at, 0, 0, 2, 1) + "明细".encode("utf-16-le"))
+    at = len(b"".join(globals_)) + len(sheet_head(0)) + len(rec(0x0A))
+    cell = lambda r, c, xf=0: struct.pack("<3H", r, c, xf)
+    sheet = [rec(0x809, bytes(16)), *(rec(0xFD, cell(0, i) + struct.pack("<I", i)) for i in range(4)), rec(0x203, cell(1, 0, 1) + struct.pack("<d", 46297)), rec(0xFD, cell(1, 1) + struct.pack("<I", 4)), rec(0xBD, struct.pack("<HH", 1, 2) + struct.pack("<HIHI", 0, 3 << 2 | 2, 0, 1250 << 2 | 3) + struct.pack("<H", 3)), rec(0x205, cell(2, 2) + b"\x07\x01"), rec(0x06, cell(2, 3) + b"\0" * 6 + b"\xff\xff" + bytes(8)), rec(0x207, text("算")), rec(0x27E, cell(2, 0) + struct.pack("<I", (-2 << 2 | 2) & 0xFFFFFFFF)), rec(0xE5, struct.pack("<5H", 1, 1, 2, 1, 1)), rec(0x0A)]
+    return compound(b"".join([*globals_, sheet_head(at), rec(0x0A), *sheet]))
+
+
+BOTH = [["日期", "门店", "数量", "金额"], ["2026-10-02", "一店", "3", "12.5"], ["-2", "一店", "#DIV/0!", "算"]]
+
+
+def test_old_workbook():
+    assert list(grids("a.xls", old_workbook())) == [("明细", BOTH)]
+    with pytest.raises(ValueError):
+        biff.workbook_stream(b"x" * 600)
+
+
+def binary_workbook():
+    def rec(kind, body=b""):
+        number = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128, n >> 7])
+        return number(kind) + number(len(body)) + body
+
+    text = lambda t: struct.pack("<I", len(t)) + t.encode("utf-16-le")
+    cell = lambda kind, c, body, style=0: rec(kind, struct.pack("<II", c, style) + body)
+    row = lambda r: rec(0, struct.pack("<I", r) + bytes(13))
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.bin"/></Relationships>'
+    sheet = [row(0), *(cell(7, i, struct.pack("<I", i)) for i in range(4)), row(1), cell(5, 0, struct.pack("<d", 46297), 1), cell(6, 1, text("一店")), cell(2, 2, struct.pack("<I", 3 << 2 | 2)), cell(9, 3, struct.pack("<d", 12.5)), row(2), cell(2, 0, struct.pack("<I", (-2 << 2 | 2) & 0xFFFFFFFF)), cell(3, 2, b"\x07"), cell(8, 3, text("算")), rec(176, struct.pack("<4I", 1, 2, 1, 1))]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.bin", rec(153, bytes(4)) + rec(156, bytes(8) + text("r1") + text("明细")))
+        z.writestr("xl/_rels/workbook.bin.rels", rels)
+        z.writestr("xl/sharedStrings.bin", b"".join(rec(19, b"\0" + text(t)) for t in BOTH[0]))
+        z.writestr("xl/styles.bin", rec(617) + rec(47, struct.pack("<HH", 0, 0)) + rec(47, struct.pack("<HH", 0, 14)) + rec(618))
+        z.writestr("xl/worksheets/sheet1.bin", b"".join(sheet))
+    return out.getvalue()
+
+
+def test_binary_workbook():
+    assert list(grids("a.xlsb", binary_workbook())) == [("明细", BOTH)]
+    assert list(xlsb.records(bytes([0x9C, 0x01, 0x02, 7, 8]))) == [(156, b"\x07\x08")]
+
+
+def test_date_cells():
+    assert [date_text(x) for x in (46297, 46297.5, 0.25)] == ["2026-10-02", "2026-10-02 12:00:00", "06:00:00"] and date_text(1, True) == "1904-01-02"
+    assert is_date_format("yyyy/m/d") and is_date_format("[h]:mm") and not is_date_format('0.00"day"') and not is_date_format("[Red]0")
+
+
+def test_notes(spark):
+    assert missing_columns({"a": {"x", "y"}, "b": {"x", "y"}, "c": {"x"}, "d": {"x"}}, {"a", "b", "c"}, ["x", "y"]) == {"c": ["y"], "d": ["y"]}
+    assert missing_columns({}, set(), ["x"]) == {} and missing_columns({"a": set()}, set(), ["x"]) == {}
+    df = spark.createDataFrame([("a", None, 1.0), ("a", None, None), (None, None, 2.0)], "k string, m double, v double")
+    assert {tuple(r) for r in count_cells(df, ["k"], {"m": F.col("m").isNull(), "v": F.col("v").isNull()}).collect()} == {("a", "m", 2), ("a", "v", 1), (None, "m", 1)}
+    assert empty_columns(df, ["m", "v", "gone"]) == ["m"] and empty_columns(df.limit(0), ["m"]) == [] and empty_columns(df, ["gone"]) == []
+
+
+def test_notes_of_a_folder(spark, tmp_path):
+    f = tmp_path / "in"
+    f.mkdir()
+    (f / "a.csv").write_text("日期,门店,数量,金额\n2026/1/2,A,1,2\n1月5日,A,,3\n", encoding="utf-8")
+    (f / "b.csv").write_text("日期,门店,数量,金额\n2026/1/3,B,2,2\n", encoding="utf-8")
+    (f / "c.csv").write_text("日期,门店,数量\n2026/1/3,C,2\n", encoding="utf-8")
+    (f / "d.xls").write_bytes(old_workbook())
+    (f / "e.xlsb").write_bytes(binary_workbook())
+    r = run(spark, TaskSpec(input_folder=str(f), group_by=["数量"], aggregations=[("金额", "求和"), ("数量", "求和")]), now=dt.datetime(2026, 2, 1), export=False)
+    found = {(x["问题类型"], x["文件"], x["行号"], x["列名"], x["说明"]) for x in r.issues.collect()}
+    assert ("缺少列", "c.csv", 1, "", "该 Sheet 缺少列：金额（明细中留空）") in found
+    assert ("空值", "a.csv", 1, "数量", "有 1 个空值（未填写，如未盘点），汇总时不按 0 计算") in found
+    assert ("日期补全年份", "a.csv", 1, "日期", "有 1 个日期没写年份（如 9.30、9月30日），已按 2026 年处理") in found
+    assert any(k == "汇总设置" and c == "数量" for k, _, _, c, _ in found) and not any(k == "空值" and p == "c.csv" for k, p, *_ in found)
+    assert {x["来源文件"] for x in r.detail.collect()} == {"a.csv", "b.csv", "c.csv", "d.xls", "e.xlsb"}
