@@ -4,17 +4,18 @@ Documents with equal shingle sets form one class first. Each class has a
 sketch of minwise tokens; random trees branch it by selected coordinates: a
 node picks one coordinate, every fourth a second one (1.25 = 1 / 0.8 children on
 average), and a document goes to the child named by its minwise token there.
-Small nodes compare all members; nodes that stay large branch deeper, and where
-they still are large at the last depth, members compare with the node's
-leaders. Twenty independent trees bring the chance to miss a pair at the
-threshold under 1e-4. Every link counts only after both full sets are compared.
+Small nodes compare all members; large nodes branch deeper. Where nodes still
+are large, members compare with the node's leaders first; then members whose
+components still differ compare with each other, in blocks of bounded size.
+Twenty independent trees bring the chance to miss a pair at the threshold under
+1e-4. Every link counts only after both full sets are compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.graph import components
@@ -24,6 +25,8 @@ from gridloom.llm.textkit import batch_chunks, mix64, shingle_sets, slices
 COORDS = 128
 TREES, DEPTH, MORE_DEPTH = 20, 3, 4
 SMALL_NODE, LARGE_NODE = 8, 32
+#: Members of a large node that one task compares with as many others.
+BLOCK = 1024
 #: Pairs whose sketches agree by so much less than the threshold reach it with a chance of about 1e-6.
 SKETCH_SLACK = 0.18
 _rng = np.random.default_rng(77)
@@ -130,6 +133,38 @@ def _pairs(crowded: DataFrame) -> DataFrame:
     return small.unionByName(star).where("a > b")
 
 
+def _apart(crowded: DataFrame, home: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+    """a > b: pairs of large nodes that lie in different components and whose sizes and sketches allow the threshold.
+
+    home: v, c (its component, if not itself). All members but those of a
+    node's largest component are dealt into blocks, which meet each other and
+    the blocks of the largest component; no task holds more than two blocks,
+    and nodes that lie in one component make no rows.
+    """
+    members = crowded.where(f"n > {SMALL_NODE}").select("path", "id").join(home.selectExpr("v AS id", "c"), "id", "left").selectExpr("path", "id", "coalesce(c, id) AS c")
+    nodes = members.groupBy("path", "c").agg(F.count("*").alias("m")).groupBy("path").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("n")).where("n > top.m")
+    nodes = nodes.selectExpr("path", "top.c AS top", f"cast(ceil((n - top.m) / {BLOCK}) AS int) AS rest", f"cast(ceil(top.m / {BLOCK}) AS int) AS tops")
+    dealt = members.join(nodes, "path").withColumn("at", F.expr("if(c = top, rest + pmod(xxhash64(id, path), tops), pmod(xxhash64(id, path), rest))"))
+    cells = dealt.selectExpr("path", "id", "c", "at", "explode(sequence(0, if(c = top, rest, rest + tops) - 1)) AS other").selectExpr("path", "id", "c", "at", "least(at, other) AS x", "greatest(at, other) AS y")
+
+    def run(cell: pa.Table) -> pa.Table:
+        ids, c, n, at, x, y = (cell.column(k).to_numpy() for k in ("id", "c", "n", "at", "x", "y"))
+        sk, out = _sketches(cell.column("sketch")), []
+        left, right = np.flatnonzero(at == x), np.flatnonzero(at == y)
+        for k in range(0, len(left), 256):  # blocks of little more than BLOCK members; bounded all the same
+            rows = left[k : k + 256]
+            same = np.zeros((len(rows), len(right)), np.uint8)
+            for d in range(COORDS):
+                same += sk[rows, d][:, None] == sk[right, d]
+            lo, hi = np.minimum(n[rows][:, None], n[right]), np.maximum(n[rows][:, None], n[right])
+            i, j = np.nonzero((same / COORDS >= share / 100 - SKETCH_SLACK) & (c[rows][:, None] != c[right]) & (100 * lo >= share * hi))
+            out.append(np.stack((ids[rows[i]], ids[right[j]])))
+        p = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": p.max(axis=0), "b": p.min(axis=0)})
+
+    return cells.join(classes.select("id", "n", "sketch"), "id").groupBy("path", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 def _similar(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     """Pairs whose sizes allow the threshold and whose sketches agree enough."""
 
@@ -181,17 +216,10 @@ def _full_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     return found.join(members.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, words: int, share: int) -> Table:
-    """(a, b): each class that is linked to others, but the least of its component, and that least class."""
-    spark = docs.sparkSession
-    crowded = Table(spark, _crowded(_frontier(classes)), "nodes")
-    large = crowded.df.where(f"n > {LARGE_NODE}").groupBy("id").agg(F.collect_list("path").alias("paths")).join(classes.select("id", "sketch"), "id")
-    pairs = _pairs(crowded.df).unionByName(_pairs(_crowded(_deeper(large)))).distinct()
-    todo = Table(spark, _similar(pairs, classes, share), "pairs")
-    crowded.drop()
+def _linked(spark: SparkSession, todo: Table, links: Table | None, docs: DataFrame, classes: DataFrame, words: int, share: int) -> Table:
+    """(a, b): components over the given links and the pairs of todo that full sets confirm; both tables are dropped."""
     involved = classes.select("id", "doc").join(todo.df.selectExpr("explode(array(a, b)) AS id").distinct(), "id", "left_semi")
     sets = Table(spark, _full_sets(docs, involved, words), "sets")
-    links: Table | None = None
     width, n_classes = 1, classes.count()
     while True:  # each round confirms a few pairs of every class; pairs that are in one component by now need no comparison
         some = todo.df.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(f"r <= {width}").select("a", "b")
@@ -215,6 +243,24 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, share: int) ->
             return links
 
 
+def link_classes(docs: DataFrame, classes: DataFrame, words: int, share: int) -> Table:
+    """(a, b): each class that is linked to others, but the least of its component, and that least class."""
+    spark = docs.sparkSession
+    crowded = Table(spark, _crowded(_frontier(classes)), "nodes")
+    large = crowded.df.where(f"n > {LARGE_NODE}").groupBy("id").agg(F.collect_list("path").alias("paths")).join(classes.select("id", "sketch"), "id")
+    deep = Table(spark, _crowded(_deeper(large)), "deep-nodes")
+    pairs = _pairs(crowded.df).unionByName(_pairs(deep.df)).distinct()
+    todo = Table(spark, _similar(pairs, classes, share), "pairs")
+    crowded.drop()
+    links = _linked(spark, todo, None, docs, classes, words, share)
+    todo = Table(spark, _apart(deep.df, links.df.selectExpr("a AS v", "b AS c"), classes, share), "pairs")
+    deep.drop()
+    if todo.df.isEmpty():
+        todo.drop()
+        return links
+    return _linked(spark, todo, links, docs, classes, words, share)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept.
 
