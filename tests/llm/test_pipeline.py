@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import random
 import zlib
 
 import pytest
@@ -54,6 +55,14 @@ def test_near_duplicates(stages):
     assert set(after) == {i for i, (_, c) in want.items() if c == i}
 
 
+def test_near_duplicates_just_over_the_threshold_in_a_template_group(spark):
+    texts = brute.straddling_group(random.Random(11), 5, 160, 40)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute.near_components(list(enumerate(texts)), 5, 80)
+    after = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(r["doc_id"] for r in after) == [i for i, (_, c) in want.items() if c == i]
+
+
 def test_contamination(spark, stages):
     before, after = stages[3]
     bench = [brute.lower(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
