@@ -4,8 +4,8 @@ Documents with equal shingle sets form one class first. Each class has a
 sketch of minwise tokens; random trees branch it by selected coordinates: a
 node picks one coordinate, every fourth a second one (1.25 = 1 / 0.8 children on
 average), and a document goes to the child named by its minwise token there.
-Small nodes compare all members; large nodes branch deeper. Where nodes still
-are large, members compare with the node's leaders first; then members whose
+Small nodes compare all members; all others branch deeper. Where nodes still
+are not small, members compare with the node's leaders first; then members whose
 components still differ compare with each other, in blocks of bounded size.
 Twenty independent trees bring the chance to miss a pair at the threshold under
 1e-4. Every link counts only after both full sets are compared.
@@ -105,7 +105,7 @@ def _frontier(classes: DataFrame) -> DataFrame:
 
 
 def _deeper(members: DataFrame) -> DataFrame:
-    """id, path: MORE_DEPTH levels below the given nodes; members: id, paths (its large nodes, a hundred at most), sketch."""
+    """id, path: MORE_DEPTH levels below the given nodes; members: id, paths (its nodes over SMALL_NODE, a hundred at most), sketch."""
 
     def run(batches):
         for b in batches:
@@ -247,7 +247,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, share: int) ->
     """(a, b): each class that is linked to others, but the least of its component, and that least class."""
     spark = docs.sparkSession
     crowded = Table(spark, _crowded(_frontier(classes)), "nodes")
-    large = crowded.df.where(f"n > {LARGE_NODE}").groupBy("id").agg(F.collect_list("path").alias("paths")).join(classes.select("id", "sketch"), "id")
+    large = crowded.df.where(f"n > {SMALL_NODE}").groupBy("id").agg(F.collect_list("path").alias("paths")).join(classes.select("id", "sketch"), "id")
     deep = Table(spark, _crowded(_deeper(large)), "deep-nodes")
     pairs = _pairs(crowded.df).unionByName(_pairs(deep.df)).distinct()
     todo = Table(spark, _similar(pairs, classes, share), "pairs")

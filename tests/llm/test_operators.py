@@ -169,6 +169,13 @@ def test_near_duplicates_just_over_the_threshold_in_a_template_group(spark):
     assert {i: r["component_id"] for i, r in got.items()} == want
 
 
+def test_near_duplicates_in_groups_a_little_over_small_nodes(spark):
+    texts = [t for k in range(25) for t in brute.straddling_group(random.Random(100 + k), 2, 16, 3)]
+    want = {i: c for i, (_, c) in brute.near_components(list(enumerate(texts)), 2, 80).items()}
+    got = rows(near_dedup.near_duplicates(frame(spark, texts), 2, 80))
+    assert {i: r["component_id"] for i, r in got.items()} == want
+
+
 # 5 personal data
 
 PIECES = ["a", "b.c", "@", "x@y.z", "+", "1", "23", "+1 (234) 567-8901", "4111 1111 1111 1111", "4111111111111111", "10.0.0.256", "1.2.3.4", ".", "-", " ", "\n", "é", "300.1", "@@", "ssn: 123-45-6789", "https://u:p@h.com"]
