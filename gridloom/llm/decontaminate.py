@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
 Fixed masks leave out some token positions, so a window still hashes to the
-benchmark's hash after substitutions at those positions. Training windows are
+benchmark's hash after substitutions at those positions; each length of items
+has masks of which one misses no pattern of substitutions that is accepted. Training windows are
 joined with the benchmark's hashes inside the scan; each hit is verified by
 aligning the texts around it and counting equal tokens.
 """
@@ -16,15 +17,24 @@ from pyspark.sql import functions as F
 from gridloom.llm.sparkkit import blocks_for
 from gridloom.llm.textkit import IS_PUNCT_OR_SPACE, chunks, mix64, word_hashes, words
 
-#: Kept token positions of each mask, of a window of SPAN tokens.
-SPAN = 12
-MASKS = ((0, 1, 2, 4, 6, 7, 10, 11), (0, 1, 3, 5, 6, 8, 9, 11), (0, 2, 3, 4, 7, 8, 10, 11), (0, 1, 4, 5, 7, 9, 10, 11), (0, 3, 4, 5, 6, 8, 9, 11))
-#: Shorter items are matched whole, down to this many tokens; still shorter ones can't be told from chance.
+#: Shorter items can't be told from chance.
 MIN_TOKENS = 5
 #: An overlap counts over WINDOW tokens (or the whole item if shorter) with at least this share of them equal.
 WINDOW, MIN_SHARE = 20, 0.8
 #: Bytes of benchmark text that one pass over the documents carries; a larger benchmark takes more passes.
 PASS_BYTES = 16 << 20
+
+
+def _masks(n: int) -> list[tuple[int, ...]]:
+    """Kept token positions of the seeds for items of n tokens. Of e + 2 equal parts of an overlap with at most e substitutions two stay whole, so one of the seeds of two parts, at any distance, hits every overlap that counts."""
+    if n == 5:  # parts of 2, 2 and 1 tokens
+        return [(0, 1, 2, 3), (0, 1, 4), (0, 1, 2)]
+    size = min(WINDOW, n)
+    parts = int(size * (1 - MIN_SHARE) + 1e-9) + 2
+    part = min(3, size // parts)
+    return [(*range(part), *range(d * part, d * part + part)) for d in range(1, parts)]
+
+
 SCHEMA = "doc_id long, item_ids array<long>, matched long"
 
 
@@ -46,15 +56,11 @@ class SeedIndex:
         low, starts, ends, first = words(buf, offs, IS_PUNCT_OR_SPACE)
         h = word_hashes(low, starts, ends)
         self.tokens = [h[first[k] : first[k + 1]] for k in range(len(items))]
-        shapes = {(SPAN, m): [] for m in MASKS}
+        shapes: dict[tuple, list] = {}
         for k, t in enumerate(self.tokens):
-            if len(t) >= SPAN:
-                for m in MASKS:
-                    w = _window_hashes(t, m, SPAN)
-                    shapes[SPAN, m].append((w, np.full(len(w), k), np.arange(len(w))))
-            elif len(t) >= MIN_TOKENS:
-                m = tuple(range(len(t)))
-                shapes.setdefault((len(t), m), []).append((_window_hashes(t, m, len(t)), np.array([k]), np.array([0])))
+            for m in _masks(len(t)) if len(t) >= MIN_TOKENS else ():
+                w = _window_hashes(t, m, m[-1] + 1)
+                shapes.setdefault((m[-1] + 1, m), []).append((w, np.full(len(w), k), np.arange(len(w))))
         self.seeds = []
         for (span, mask), parts in shapes.items():
             if parts:

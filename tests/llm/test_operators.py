@@ -1,6 +1,7 @@
 """Every operator against brute force on driver tables, and its edge cases on small fixtures."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -119,6 +120,20 @@ def test_decontamination(spark):
     assert not any(r["contaminated"] for r in rows(decontaminate.contaminated(df, bench.limit(0))).values())
 
 
+@pytest.mark.parametrize("n", [*range(5, 21), 27])
+def test_seeds_hit_every_accepted_substitution(n):
+    item = [f"w{k}" for k in range(n)]
+    index = decontaminate.SeedIndex([(7, " ".join(item))])
+    size = min(decontaminate.WINDOW, n)
+    for at in {0, (n - size) // 2, n - size}:
+        most = max(e for e in range(size) if size - e >= decontaminate.MIN_SHARE * size)
+        changed = [set(c) for e in range(most + 1) for c in itertools.combinations(range(at, at + size), e)]
+        h = np.stack([np.where([at <= k < at + size and k not in c for k in range(n)], index.tokens[0], np.uint64(k0 + 1)) for k0, c in enumerate(changed)])
+        hits = index.hits(h.ravel(), np.arange(len(changed) + 1) * n)
+        assert set(hits[hits[:, 2] == 0, 0].tolist()) == set(range(len(changed)))
+        assert all(index.overlap(x, 0, 0) for x in h)
+
+
 def test_decontamination_finds_items_of_the_driver(spark, docs):
     bench = [(r["item_id"], brute.lower(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     got = rows(queries.op3_decontaminate(spark, SF))
