@@ -23,7 +23,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity 0.8."""
+    """One document of each group: five-word shingles, similarity 0.8.
+
+    Decisions are applied by doc_id: where rows share an id and one of them goes,
+    all of them go; identical rows with one id all stay.
+    """
     gone = near_dedup.near_duplicates(docs, words=5, share=80).where("component_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
