@@ -50,9 +50,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.selectExpr("a", "m AS b").unionByName(linked.selectExpr("b AS a", "m AS b")).where("a > b").distinct()
 
 
+#: So many edges, forests of single tasks already, fit in one task of bounded size.
+FEW_EDGES = 1 << 14
+
+
 def components(spark: SparkSession, edges: DataFrame) -> Table:
-    """(a, b): every vertex with edges but the least of its component, and that least one. Alternating stars until every vertex has one edge, to a vertex without one: logarithmically many rounds, each a written table."""
+    """(a, b): every vertex with edges but the least of its component, and that least one. Alternating stars until every vertex has one edge, to a vertex without one: logarithmically many rounds, each a written table. What is left of few edges takes one task."""
     now = Table(spark, edges.select("a", "b").mapInArrow(_forest, "a long, b long"), "edges")
+    if now.df.count() <= FEW_EDGES:
+        done = Table(spark, now.df.coalesce(1).mapInArrow(_forest, "a long, b long"), "edges")
+        now.drop()
+        return done
     while True:
         big = Table(spark, _star(now.df, True), "large-star")
         now.drop()

@@ -4,11 +4,12 @@ Documents with equal shingle sets form one class first. Each class has a
 sketch of minwise tokens; random trees branch it by selected coordinates: a
 node picks one coordinate, every fourth a second one (1.25 = 1 / 0.8 children on
 average), and a document goes to the child named by its minwise token there.
-Small nodes compare all members; all others branch deeper. Where nodes still
-are not small, members compare with the node's leaders first; then members whose
-components still differ compare with each other, in blocks of bounded size.
-Twenty independent trees bring the chance to miss a pair at the threshold under
-1e-4. Every link counts only after both full sets are compared.
+Small nodes compare all members; large ones branch on, inside the task that
+holds their members' sketches. Pairs of one component need no comparison, so
+each class first meets one leader, and nodes that this leaves in one component
+are not compared at all. Twenty independent trees bring the chance to miss a
+pair at the threshold under 1e-4. Every link counts only after both full sets
+are compared.
 """
 
 from __future__ import annotations
@@ -24,22 +25,27 @@ from gridloom.llm.textkit import batch_chunks, mix64, shingle_sets, slices
 
 COORDS = 128
 TREES, DEPTH, MORE_DEPTH = 20, 3, 4
-SMALL_NODE, LARGE_NODE = 8, 32
+#: Nodes of so many classes give all pairs in SQL; children of so many are compared in numpy.
+SMALL_NODE, LEAF = 8, 64
+#: Keys by which a class finds leaders; one large node in SAMPLE_NODES is compared before all the others.
+KEYS, SAMPLE_NODES = 12, 8
 #: Members of a large node that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 1 << 14
+#: Minwise tokens of a fine sketch, and how many of them a first comparison takes.
+FINE, FIRST = 512, 128
 #: Pairs whose sketches agree by so much less than the threshold reach it with a chance of about 1e-6.
-SKETCH_SLACK = 0.18
+SKETCH_SLACK, FINE_SLACK = 0.18, 0.09
 _rng = np.random.default_rng(77)
-_MUL = (_rng.integers(1, 1 << 31, COORDS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_XOR = _rng.integers(0, 1 << 32, COORDS, dtype=np.uint32)
+_MUL = (_rng.integers(1, 1 << 31, FINE, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, FINE, dtype=np.uint32)
 _SLICE = 1 << 15
 SALTS = (0x1234567, 0xABCDEF01)
 
 
-def sketch(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(texts, COORDS) uint16 minwise tokens of non-empty sets; rows of empty sets are 0."""
+def sketch(sets: np.ndarray, offs: np.ndarray, coords: int = COORDS) -> np.ndarray:
+    """(texts, coords) uint16 minwise tokens of non-empty sets; rows of empty sets are 0."""
     n = len(offs) - 1
-    out = np.zeros((n, COORDS), np.uint16)
+    out = np.zeros((n, coords), np.uint16)
     full = np.flatnonzero(np.diff(offs))
     if not len(full):
         return out
@@ -49,7 +55,7 @@ def sketch(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
         rows = full[i:j]
         x = (sets[offs[rows[0]] : offs[rows[-1] + 1]] >> np.uint64(32)).astype(np.uint32)
         at = (offs[rows] - offs[rows[0]]).astype(np.int64)
-        for c in range(COORDS):
+        for c in range(coords):
             low = np.minimum.reduceat((x ^ _XOR[c]) * _MUL[c], at)
             low ^= low >> np.uint32(16)
             low *= np.uint32(0x7FEB352D)
@@ -91,93 +97,151 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _frontier(classes: DataFrame) -> DataFrame:
-    """id, path: the nodes at DEPTH of every class."""
+    """id, c, path: the nodes at DEPTH of every class; classes: id, c (null where the class is its own component), sketch."""
 
     def run(batches):
         for b in batches:
-            ids, sk = b.column("id").to_numpy(), _sketches(b.column("sketch"))
+            ids, sk, home = b.column("id").to_numpy(), _sketches(b.column("sketch")), b.column("c")
             for at in range(0, len(ids), 2048):
                 n = len(ids[at : at + 2048])
                 paths, rows = branch(*_roots(n), sk[at : at + n], DEPTH)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + n][rows]), pa.array(paths.view(np.int64))], names=["id", "path"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + n][rows]), home.take(pa.array(rows + at)), pa.array(paths.view(np.int64))], names=["id", "c", "path"])
 
-    return classes.select("id", "sketch").mapInArrow(run, "id long, path long")
+    return classes.select("id", "c", "sketch").mapInArrow(run, "id long, c long, path long")
 
 
-def _deeper(members: DataFrame) -> DataFrame:
-    """id, path: MORE_DEPTH levels below the given nodes; members: id, paths (its nodes over SMALL_NODE, a hundred at most), sketch."""
+def _leaders(classes: DataFrame, share: int) -> DataFrame:
+    """a > b: each class with the one leader that agrees most with its sketch, of the leaders of its KEYS keys; a key is three coordinates, its leader the least class that has it.
+
+    One pair a class, however large its group: a pass that unites most of a
+    group of copies before any tree branches it.
+    """
 
     def run(batches):
+        pick = [np.random.default_rng(k).choice(COORDS, 3, replace=False) for k in range(KEYS)]
         for b in batches:
-            ids, sk, lists = b.column("id").to_numpy(), _sketches(b.column("sketch")), b.column("paths")
-            rows = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
-            paths, rows = branch(lists.flatten().to_numpy().view(np.uint64), rows, sk, MORE_DEPTH)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(paths.view(np.int64))], names=["id", "path"])
+            ids, sk = b.column("id").to_numpy(), _sketches(b.column("sketch")).astype(np.uint64)
+            keys = [mix64(sk[:, x] << np.uint64(32) | sk[:, y] << np.uint64(16) | sk[:, z]) ^ np.uint64(k) for k, (x, y, z) in enumerate(pick)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, KEYS)), pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64())], names=["id", "key"])
+
+    keyed = classes.select("id", "sketch").mapInArrow(run, "id long, key long")
+    least = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = keyed.join(least, "key").where("id > leader").selectExpr("id AS a", "leader AS b").distinct()
+    return _similar(pairs, classes, share).groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
 
-    return members.mapInArrow(run, "id long, path long")
 
+def _mixed(frontier: DataFrame) -> DataFrame:
+    """path, id, c, n: members of nodes that hold classes of more than one component; n is the node's size."""
+    c = F.coalesce("c", "id")
+    nodes = frontier.groupBy("path").agg(F.count("*").alias("n"), F.min(c).alias("x"), F.max(c).alias("y")).where("x != y").select("path", "n")
+    return frontier.join(nodes, "path").select("path", "id", c.alias("c"), "n")
 
-def _crowded(frontier: DataFrame) -> DataFrame:
-    """id, path: members of nodes that hold more than one class, with the node's size n and three leaders: the least, one of the node's own, and one by a hash that half of all nodes share."""
-    own, shared = (F.min(F.struct(F.xxhash64("id", salt).alias("h"), "id")) for salt in (F.col("path"), F.pmod("path", F.lit(2))))
-    nodes = frontier.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("least"), own.alias("own"), shared.alias("shared")).where("n > 1").selectExpr("path", "n", "least", "own.id AS own", "shared.id AS shared")
-    return frontier.join(nodes, "path")
 
+def _small_pairs(mixed: DataFrame) -> DataFrame:
+    """a > b: all pairs of small nodes, of different components."""
+    small = mixed.where(f"n <= {SMALL_NODE}").groupBy("path").agg(F.sort_array(F.collect_set(F.struct("id", "c"))).alias("m"))
+    return small.selectExpr("explode(filter(flatten(transform(m, (x, i) -> transform(slice(m, 1, i), y -> struct(x.id AS a, y.id AS b, x.c != y.c AS apart)))), p -> p.apart)) AS p").selectExpr("p.a", "p.b")
 
-def _pairs(crowded: DataFrame) -> DataFrame:
-    """a > b: all pairs of small nodes, members against leaders in the others. In large nodes the leaders are those that other nodes of a group are likely to have too, so a group gives a few pairs a member."""
-    small = crowded.where(f"n <= {SMALL_NODE}").groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    small = small.selectExpr("explode(flatten(transform(ids, (x, i) -> transform(slice(ids, 1, i), y -> struct(x AS a, y AS b))))) AS p").selectExpr("p.a", "p.b")
-    leaders = f"array(least, if(n <= {LARGE_NODE}, own, shared))"
-    star = crowded.where(f"n > {SMALL_NODE}").selectExpr(f"explode(transform(array_distinct({leaders}), y -> struct(greatest(id, y) AS a, least(id, y) AS b))) AS p").selectExpr("p.a", "p.b")
-    return small.unionByName(star).where("a > b")
 
+def _fine(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """id, fine: FINE minwise tokens of 8 bits of the classes in members (id, doc)."""
 
-def _apart(crowded: DataFrame, home: DataFrame, classes: DataFrame, share: int) -> DataFrame:
-    """a > b: pairs of large nodes that lie in different components and whose sizes and sketches allow the threshold.
+    def run(batches):
+        for _, buf, offs in batch_chunks(batches, "doc_id", "text"):
+            sets, at = shingle_sets(buf, offs, words)
+            fine = sketch(sets, at, FINE) >> np.uint16(8)
+            yield pa.RecordBatch.from_arrays([pa.array(_set_keys(sets, at, SALTS[0])), pa.array([r.tobytes() for r in fine.astype(np.uint8)], pa.binary())], names=["id", "fine"])
 
-    home: v, c (its component, if not itself). All members but those of a
-    node's largest component are dealt into blocks, which meet each other and
-    the blocks of the largest component; no task holds more than two blocks,
-    and nodes that lie in one component make no rows.
+    found = docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(run, "id long, fine binary")
+    return found.join(members.select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+
+def node_pairs(path: int, fine: np.ndarray, c: np.ndarray, n: np.ndarray, allowed, share: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs of one node that lie in different components and whose sizes and sketches allow the threshold.
+
+    The node branches on by coordinates of the fine sketch, MORE_DEPTH levels
+    at most, until a child is small; children of one component end there. All
+    members outside a child's largest component meet all its members.
+    ``allowed`` (rows, rows -> bool) restricts pairs; ``most`` keeps that many
+    pairs a member, the most similar ones.
+    """
+    stack, found = [(np.uint64(path & (1 << 64) - 1), np.arange(len(c)), 0)], []
+    floor = share / 100 - FINE_SLACK
+    while stack:
+        p, rows, depth = stack.pop()
+        kinds, counts = np.unique(c[rows], return_counts=True)
+        if len(kinds) < 2:
+            continue
+        if len(rows) > LEAF and depth < MORE_DEPTH:
+            one = int(mix64(np.array([p + np.uint64(0x5851F42D4C957F2D)], np.uint64))[0])
+            coords = [one % FINE, (one >> 20) % FINE]
+            for k in dict.fromkeys(coords if one >> 60 < 4 else coords[:1]):
+                order = rows[np.argsort(fine[rows, k], kind="stable")]
+                value = fine[order, k]
+                for part in np.split(order, np.flatnonzero(value[1:] != value[:-1]) + 1):
+                    if len(part) > 1:
+                        child = mix64(np.array([int(p) * 0x2545F4914F6CDD1D + (k << 16) + int(fine[part[0], k]) + 1 & (1 << 64) - 1], np.uint64))[0]
+                        stack.append((child, part, depth + 1))
+            continue
+        left = rows[c[rows] != kinds[counts.argmax()]]
+        for at in range(0, len(left), 256):
+            l = left[at : at + 256]
+            same = np.zeros((len(l), len(rows)), np.uint8)
+            for k in range(FIRST):
+                same += fine[l, k][:, None] == fine[rows, k]
+            lo, hi = np.minimum(n[l][:, None], n[rows]), np.maximum(n[l][:, None], n[rows])
+            i, j = np.nonzero((same >= (share / 100 - SKETCH_SLACK) * FIRST) & (c[l][:, None] != c[rows]) & (100 * lo >= share * hi) & allowed(l[:, None], rows))
+            i, j = l[i], rows[j]
+            for k in range(0, len(i), 1 << 16):
+                x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                est = (fine[x] == fine[y]).mean(axis=1)
+                found.append(np.stack((np.maximum(x, y), np.minimum(x, y), (est * FINE).astype(np.int64)))[:, est >= floor])
+    p = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
+    if most is not None and p.shape[1]:
+        member, est, row = np.concatenate((p[0], p[1])), np.tile(p[2], 2), np.tile(np.arange(p.shape[1]), 2)
+        order = np.lexsort((-est, member))
+        begin = np.concatenate(([True], member[order][1:] != member[order][:-1]))
+        rank = np.arange(len(order)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
+        p = p[:, np.unique(row[order][rank < most])]
+    return p[0], p[1]
+
+
+def _large_pairs(mixed: DataFrame, classes: DataFrame, fine: DataFrame, share: int, most: int | None) -> DataFrame:
+    """a > b: pairs of large nodes, by node_pairs. mixed: path, id, c, of nodes over SMALL_NODE.
+
+    Members outside a node's largest component are dealt into blocks, which
+    meet each other and the blocks of the largest component; no task holds more
+    than two blocks at once.
     """
-    members = crowded.where(f"n > {SMALL_NODE}").select("path", "id").join(home.selectExpr("v AS id", "c"), "id", "left").selectExpr("path", "id", "coalesce(c, id) AS c")
-    nodes = members.groupBy("path", "c").agg(F.count("*").alias("m")).groupBy("path").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("n")).where("n > top.m")
-    nodes = nodes.selectExpr("path", "top.c AS top", f"cast(ceil((n - top.m) / {BLOCK}) AS int) AS rest", f"cast(ceil(top.m / {BLOCK}) AS int) AS tops")
-    dealt = members.join(nodes, "path").withColumn("at", F.expr("if(c = top, rest + pmod(xxhash64(id, path), tops), pmod(xxhash64(id, path), rest))"))
-    cells = dealt.selectExpr("path", "id", "c", "at", "explode(sequence(0, if(c = top, rest, rest + tops) - 1)) AS other").selectExpr("path", "id", "c", "at", "least(at, other) AS x", "greatest(at, other) AS y")
+    nodes = mixed.groupBy("path", "c").agg(F.count("*").alias("m")).groupBy("path").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("n")).where("n > top.m")
+    nodes = nodes.selectExpr("path", "top.c AS top", f"cast(ceil((n - top.m) / {BLOCK}) AS int) AS rest", f"cast(ceil(top.m / {BLOCK}) AS int) AS tops", f"n <= {BLOCK} AS whole")
+    dealt = mixed.join(nodes, "path").withColumn("at", F.expr("if(whole, 0, if(c = top, rest + pmod(xxhash64(id, path), tops), pmod(xxhash64(id, path), rest)))"))
+    cells = dealt.selectExpr("path", "id", "c", "at", "explode(if(whole, array(0), sequence(0, if(c = top, rest, rest + tops) - 1))) AS other").selectExpr("path", "id", "c", "at", "least(at, other) AS x", "greatest(at, other) AS y")
 
     def run(cell: pa.Table) -> pa.Table:
         ids, c, n, at, x, y = (cell.column(k).to_numpy() for k in ("id", "c", "n", "at", "x", "y"))
-        sk, out = _sketches(cell.column("sketch")), []
-        left, right = np.flatnonzero(at == x), np.flatnonzero(at == y)
-        for k in range(0, len(left), 256):  # blocks of little more than BLOCK members; bounded all the same
-            rows = left[k : k + 256]
-            same = np.zeros((len(rows), len(right)), np.uint8)
-            for d in range(COORDS):
-                same += sk[rows, d][:, None] == sk[right, d]
-            lo, hi = np.minimum(n[rows][:, None], n[right]), np.maximum(n[rows][:, None], n[right])
-            i, j = np.nonzero((same / COORDS >= share / 100 - SKETCH_SLACK) & (c[rows][:, None] != c[right]) & (100 * lo >= share * hi))
-            out.append(np.stack((ids[rows[i]], ids[right[j]])))
-        p = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": p.max(axis=0), "b": p.min(axis=0)})
-
-    return cells.join(classes.select("id", "n", "sketch"), "id").groupBy("path", "x", "y").applyInArrow(run, "a long, b long").distinct()
+        data = np.frombuffer(b"".join(cell.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+        allowed = (lambda l, r: at[l] != at[r]) if len(x) and x[0] != y[0] else (lambda l, r: True)
+        i, j = node_pairs(int(cell.column("path")[0].as_py()) if len(x) else 0, data, c, n, allowed, share, most)
+        return pa.table({"a": np.maximum(ids[i], ids[j]), "b": np.minimum(ids[i], ids[j])})
+
+    return cells.join(classes.select("id", "n"), "id").join(fine, "id").groupBy("path", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
-    """Pairs whose sizes allow the threshold and whose sketches agree enough."""
+    """a, b, same: pairs whose sizes allow the threshold and whose sketches agree enough, and the share of agreement."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                same = (_sketches(b.column("sa")) == _sketches(b.column("sb"))).mean(axis=1) >= share / 100 - SKETCH_SLACK
-                yield b.select(["a", "b"]).filter(pa.array(same))
+                same = (_sketches(b.column("sa")) == _sketches(b.column("sb"))).mean(axis=1)
+                out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(same)], names=["a", "b", "same"])
+                yield out.filter(pa.array(same >= share / 100 - SKETCH_SLACK))
 
     a = classes.selectExpr("id AS a", "n AS na", "sketch AS sa")
     b = classes.selectExpr("id AS b", "n AS nb", "sketch AS sb")
     both = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {share} * greatest(na, nb)")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, same double")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -218,47 +282,64 @@ def _full_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
 def _linked(spark: SparkSession, todo: Table, links: Table | None, docs: DataFrame, classes: DataFrame, words: int, share: int) -> Table:
     """(a, b): components over the given links and the pairs of todo that full sets confirm; both tables are dropped."""
+    pairs, n_classes = todo.df.count(), classes.count()
+    if not pairs and links is not None:
+        todo.drop()
+        return links
     involved = classes.select("id", "doc").join(todo.df.selectExpr("explode(array(a, b)) AS id").distinct(), "id", "left_semi")
     sets = Table(spark, _full_sets(docs, involved, words), "sets")
-    width, n_classes = 1, classes.count()
-    while True:  # each round confirms a few pairs of every class; pairs that are in one component by now need no comparison
-        some = todo.df.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(f"r <= {width}").select("a", "b")
-        good = Table(spark, _confirm(some, sets.df, share), "links")
-        edges = good.df if links is None else good.df.unionByName(links.df)
-        merged = components(spark, edges)
-        good.drop()
+    width = 1
+    while True:  # many pairs: each round confirms a few of every class; pairs that are in one component by now need no comparison
+        few = pairs <= n_classes
+        some = todo.df if few else todo.df.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(f"r <= {width}").select("a", "b")
+        good = _confirm(some, sets.df, share)
+        merged = components(spark, good if links is None else good.unionByName(links.df))
         if links is not None:
             links.drop()
         links = merged
-        home = links.df.selectExpr("a AS v", "b AS c")
-        rest = todo.df.join(some, ["a", "b"], "left_anti")
-        rest = rest.join(home.selectExpr("v AS a", "c AS ca"), "a", "left").join(home.selectExpr("v AS b", "c AS cb"), "b", "left")
-        left = Table(spark, rest.where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "pairs")
-        todo.drop()
-        # Few pairs left: all of them at once; else a few more of every class.
-        todo, width = left, (1 << 30) if left.df.count() <= n_classes // 2 else width * 4
-        if todo.df.isEmpty():
+        if not few:
+            home = links.df.selectExpr("a AS v", "b AS c")
+            rest = todo.df.join(some, ["a", "b"], "left_anti")
+            rest = rest.join(home.selectExpr("v AS a", "c AS ca"), "a", "left").join(home.selectExpr("v AS b", "c AS cb"), "b", "left")
+            left = Table(spark, rest.where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "pairs")
+            todo.drop()
+            todo, width, pairs = left, width * 4, left.df.count()
+        if few or not pairs:
             todo.drop()
             sets.drop()
             return links
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, words: int, share: int) -> Table:
-    """(a, b): each class that is linked to others, but the least of its component, and that least class."""
+    """(a, b): each class that is linked to others, but the least of its component, and that least class.
+
+    First every class meets one leader; what that unites counts as one
+    component, and only nodes of several components are compared further:
+    small ones whole, of large ones a part with a few pairs a member, then, with
+    the components joined again, all that are left, whole.
+    """
     spark = docs.sparkSession
-    crowded = Table(spark, _crowded(_frontier(classes)), "nodes")
-    large = crowded.df.where(f"n > {SMALL_NODE}").groupBy("id").agg(F.collect_list("path").alias("paths")).join(classes.select("id", "sketch"), "id")
-    deep = Table(spark, _crowded(_deeper(large)), "deep-nodes")
-    pairs = _pairs(crowded.df).unionByName(_pairs(deep.df)).distinct()
-    todo = Table(spark, _similar(pairs, classes, share), "pairs")
-    crowded.drop()
-    links = _linked(spark, todo, None, docs, classes, words, share)
-    todo = Table(spark, _apart(deep.df, links.df.selectExpr("a AS v", "b AS c"), classes, share), "pairs")
-    deep.drop()
-    if todo.df.isEmpty():
-        todo.drop()
+    links = _linked(spark, Table(spark, _leaders(classes, share), "pairs"), None, docs, classes, words, share)
+
+    def at_home(df: DataFrame) -> DataFrame:
+        return df.join(links.df.selectExpr("a AS id", "b AS c"), "id", "left")
+
+    mixed = Table(spark, _mixed(_frontier(at_home(classes.select("id", "sketch")))), "nodes")
+    large = mixed.df.where(f"n > {SMALL_NODE}").select("path", "id", "c")
+    if large.isEmpty():
+        pairs = _similar(_small_pairs(mixed.df).distinct(), classes, share).select("a", "b")
+        links = _linked(spark, Table(spark, pairs, "pairs"), links, docs, classes, words, share)
+        mixed.drop()
         return links
-    return _linked(spark, todo, links, docs, classes, words, share)
+    fine = Table(spark, _fine(docs, classes.select("id", "doc").join(large.select("id").distinct(), "id", "left_semi"), words), "fine")
+    part = _large_pairs(large.where(f"pmod(path, {SAMPLE_NODES}) = 0"), classes, fine.df, share, 2)
+    todo = Table(spark, _similar(_small_pairs(mixed.df).distinct(), classes, share).select("a", "b").unionByName(part).distinct(), "pairs")
+    links = _linked(spark, todo, links, docs, classes, words, share)
+    now = at_home(large.drop("c")).select("path", "id", F.coalesce("c", "id").alias("c"))
+    links = _linked(spark, Table(spark, _large_pairs(now, classes, fine.df, share, None), "pairs"), links, docs, classes, words, share)
+    mixed.drop()
+    fine.drop()
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80) -> DataFrame:
@@ -282,4 +363,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80) -> DataFra
     named = rooted.join(least, "root").selectExpr("id AS k1", "k2", "n AS n_shingles", "component_id")
     out = sig.df.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
     home = "if(n_shingles > 0 AND doc_id IS NOT NULL, component_id, doc_id)"
-    return out.selectExpr("doc_id", "n_shingles", f"{home} AS component_id", f"coalesce(doc_id = {home}, false) AS kept")
+    done = Table(spark, out.selectExpr("doc_id", "n_shingles", f"{home} AS component_id", f"coalesce(doc_id = {home}, false) AS kept"), "components")
+    for t in (sig, classes, links):
+        t.drop()
+    return done.df
