@@ -5,10 +5,11 @@ with a smaller id. Equal strings have equal minimizers (least hash of their
 k-byte substrings), so all strings that could be equal meet in the bucket of
 their minimizer: consecutive positions with one minimizer travel as one run of
 some 14 packed bytes. Runs equal to one of an earlier document are decided by
-their hash. What stays open (runs that share a minimizer with an earlier
-document but differ) is fetched from the texts; there the suffixes are sorted
-to ``length`` bytes, and previous and next smaller documents in suffix order
-tell whether a longest previous factor reaches ``length``.
+their hash (over 100 bits), where possible in the task that finds them, so that
+a passage of many documents reaches its bucket about once a task. What stays
+open (runs that share a minimizer with an earlier document but differ) is
+fetched from the texts; there the suffixes are sorted, and the previous and next
+smaller documents in suffix order give each suffix its longest previous factor.
 """
 
 from __future__ import annotations
@@ -53,8 +54,7 @@ class Runs:
                 x = np.ascontiguousarray(cols[name][pick])
                 if name in ("doc", "crc"):
                     x = np.concatenate((x[:1], x[1:] ^ x[:-1]))
-                width = 6 if name == "g" else x.itemsize
-                planes = x.view(np.uint8).reshape(len(x), x.itemsize)[:, :width]
+                planes = x.view(np.uint8).reshape(len(x), x.itemsize)
                 out.append(planes.tobytes() if name in ("h", "g") else np.ascontiguousarray(planes.T).tobytes())
         return b"".join(out)
 
@@ -66,12 +66,9 @@ class Runs:
             for k, (name, kind) in enumerate(Runs.KINDS.items()):
                 if has >> k & 1:
                     size = np.dtype(kind).itemsize
-                    width = 6 if name == "g" else size
-                    raw = np.frombuffer(data, np.uint8, n * width, at)
-                    at += n * width
-                    full = np.zeros((n, size), np.uint8)
-                    full[:, :width] = raw.reshape(n, width) if name in ("h", "g") else raw.reshape(width, n).T
-                    x = full.reshape(-1).view(kind)
+                    raw = np.frombuffer(data, np.uint8, n * size, at)
+                    at += n * size
+                    x = np.ascontiguousarray(raw if name in ("h", "g") else raw.reshape(size, n).T).reshape(-1).view(kind)
                     cols.setdefault(name, []).append(np.bitwise_xor.accumulate(x) if name in ("doc", "crc") and n else x)
         return {k: np.concatenate(v) for k, v in cols.items()}
 
@@ -119,6 +116,16 @@ def find_runs(buf: np.ndarray, offs: np.ndarray, length: int, seed: int):
     return text, s - offs[text], n, mix64(least[s] ^ np.uint64(0x51ED27)), range_hash(prefix, s, s + n + length - 1)
 
 
+def led_by_smaller(c: dict[str, np.ndarray]) -> np.ndarray:
+    """Which runs equal one of a smaller document among the given ones."""
+    order = np.lexsort((c["doc"], c["g"], c["h"]))
+    h, g, doc = c["h"][order], c["g"][order], c["doc"][order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))[: len(h)]
+    out = np.zeros(len(h), bool)
+    out[order] = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
 def judge_bucket(c: dict[str, np.ndarray]) -> np.ndarray:
     """For each run 1: equal to one of a smaller document; 2: open, either side of a possible match; 0: unmatched."""
     out = np.zeros(len(c["doc"]), np.uint8)
@@ -138,34 +145,64 @@ def judge_bucket(c: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def repeated_starts(content: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """Whether content[s:s+length] of each start also begins in a smaller document.
+def _windows(x: np.ndarray) -> list[np.ndarray]:
+    """Least value of the 2**k entries that end at each place (of all before it at the front), for each k."""
+    out, size = [x], 1
+    while size < len(x):
+        y = out[-1].copy()
+        y[size:] = np.minimum(out[-1][size:], out[-1][:-size])
+        out.append(y)
+        size *= 2
+    return out
+
+
+def _factor_before(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place the least of lcp from the previous smaller document on (lcp[i]: of places i-1 and i), 0 without one."""
+    n = len(doc)
+    docs, common = _windows(doc), _windows(lcp)
+    at, best = np.arange(n) - 1, np.full(n, lcp.max(initial=0), lcp.dtype)
+    best = np.minimum(best, lcp)
+    for k in range(len(docs) - 1, -1, -1):  # skip 2**k places that hold no smaller document
+        place = np.maximum(at, 0)
+        skip = (at >= 0) & (docs[k][place] >= doc)
+        best = np.where(skip, np.minimum(best, common[k][place]), best)
+        at = np.where(skip, at - (1 << k), at)
+    return np.where(at >= 0, best, 0)
 
-    Suffixes are sorted to ``length`` bytes. Neighbours that agree there form
-    intervals of common prefix >= length; the nearest smaller document before
-    or after a suffix within its interval exists exactly if the interval's
-    least document is smaller, so one minimum an interval gives both.
+
+def longest_previous_factors(content: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each start the length, up to ``length``, of the longest string there that also starts in a smaller document.
+
+    The suffixes are sorted by their first ``length`` bytes; the longest match
+    lies at the previous or the next smaller document in suffix order, as long
+    as the least common prefix on the way there.
     """
     if not len(starts):
-        return np.zeros(0, bool)
+        return np.zeros(0, np.uint8)
     padded = np.concatenate((content, np.zeros(8, np.uint8)))
-    at = list(range(0, length - 8, 8)) + [max(0, length - 8)]
+    width = min(8, length)
+    at = [*range(0, length - width, width), length - width]
     keys = []
     for k in at:
         word = np.zeros(len(starts), np.uint64)
-        for b in range(8 if length >= 8 else length):
+        for b in range(width):
             word = (word << np.uint64(8)) | padded[starts + k + b]
         keys.append(word)
     order = np.lexsort(keys[::-1])
-    apart = np.zeros(len(order), bool)
-    apart[0] = True
-    for word in keys:
+    lcp = np.full(len(order), length, np.uint8)
+    for k, word in zip(at[::-1], keys[::-1]):
         x = word[order]
-        apart[1:] |= x[1:] != x[:-1]
-    d = doc[order]
-    least = np.minimum.reduceat(d, np.flatnonzero(apart))[np.cumsum(apart) - 1]
-    out = np.zeros(len(order), bool)
-    out[order] = least < d
+        diff = x[1:] ^ x[:-1]
+        same = np.zeros(len(diff), np.uint8)
+        for b in range(1, width + 1):
+            same += diff >> np.uint64(8 * (width - b)) == 0
+        lcp[1:] = np.where(diff != 0, k + same, lcp[1:])
+    lcp[0] = 0
+    d = np.unique(doc, return_inverse=True)[1].astype(np.int32)[order]
+    before = _factor_before(d, lcp)
+    after = _factor_before(d[::-1], np.concatenate((lcp[1:], np.zeros(1, np.uint8)))[::-1])[::-1]
+    out = np.zeros(len(order), np.uint8)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -208,8 +245,8 @@ def _rows_of(ids: np.ndarray, crcs: np.ndarray, doc: np.ndarray, crc: np.ndarray
     return np.where(key[at] == want, order[at], -1)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = True) -> DataFrame:
+    """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes).
 
     Null text counts as empty; texts shorter than ``length`` bytes keep all.
     Rows with a null id keep all and count for none. Repeated rows share an id
@@ -227,8 +264,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         def flush():
             cols = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
-            bucket = (cols.pop("h64") >> np.uint64(32)) % np.uint64(n_buckets)
-            return _emit(cols, bucket.astype(np.int64))
+            bucket = ((cols.pop("h64") >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+            early = led_by_smaller(cols)
+            at, rest = np.flatnonzero(early), np.flatnonzero(~early)
+            if len(at):  # decided here; they travel on their own documents' ways, without hashes
+                part = {k: cols[k][at] for k in ("doc", "crc", "start", "n")} | {"flag": np.ones(len(at), np.uint8)}
+                yield _emit(part, _group_of(part["doc"], n_buckets))
+            if len(rest):
+                yield _emit({k: v[rest] for k, v in cols.items()}, bucket[rest])
 
         for b in batches:
             for ids, buf, offs in chunks(b.column("doc_id"), b.column("text")):
@@ -236,17 +279,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 text, start, n, h, g = find_runs(buf, offs, length, seed)
                 raw = buf.tobytes()
                 crcs = np.array([zlib.crc32(raw[x:y]) for x, y in zip(offs[:-1], offs[1:])], np.uint32)
-                held.append({"doc": ids[text], "crc": crcs[text], "start": start.astype(np.uint32), "n": n.astype(np.uint32), "h": h.astype(np.uint32), "g": g & np.uint64((1 << 48) - 1), "h64": h})
+                held.append({"doc": ids[text], "crc": crcs[text], "start": start.astype(np.uint32), "n": n.astype(np.uint32), "h": h.astype(np.uint32), "g": g, "h64": h})
                 size += len(text)
                 if size > _FLUSH:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     def judge(batches):
         for bucket, (data,) in _by_bucket(batches, ["data"]):
-            c = Runs.unpack(data)
+            decided = [Runs.unpack([d]) for d in data if d[4] & 1 << list(Runs.KINDS).index("flag")]
+            for c in decided:
+                batch = _emit(c, _group_of(c["doc"], n_groups))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([-1] * batch.num_rows, pa.int32())], names=["bucket", "data", "home"])
+            if len(decided) == len(data):
+                continue
+            c = Runs.unpack([d for d in data if not d[4] & 1 << list(Runs.KINDS).index("flag")])
             flag = judge_bucket(c)
             pick = np.flatnonzero(flag)
             if len(pick):
@@ -294,13 +343,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ends = np.cumsum(n[order])
             i, marks = 0, []
             while i < len(order):
-                j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), side="right"))
+                j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 18), side="right"))
                 j = max(i + 1, j)
                 j = int(np.searchsorted(c["h"][order], c["h"][order][j - 1], side="right"))
                 own = order[i:j]
                 starts = _ragged(base[own], n[own])
                 run = np.repeat(own, n[own])
-                hit = repeated_starts(x, starts, c["doc"][run], length)
+                hit = longest_previous_factors(x, starts, c["doc"][run], length) >= length
                 edge = np.concatenate(([True], run[1:] != run[:-1]))
                 up = hit & (edge | np.concatenate(([True], ~hit[:-1])))
                 down = hit & np.concatenate((edge[1:] | ~hit[1:], [True]))
@@ -343,11 +392,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 body = buf[offs[r] : offs[r + 1]]
                 kept = body[~m].tobytes() if m.any() else body.tobytes()
                 spans = int(m[:1].sum() + (m[1:] & ~m[:-1]).sum())
-                out.append((int(ids[r]), len(body), int(m.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((int(ids[r]), len(body), int(m.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
         cols = list(zip(*out)) if out else [[]] * 6
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), cols, kinds)})
 
     done = grouped.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(cut, schema)
     plain = docs.where("doc_id IS NULL").selectExpr("doc_id", "coalesce(cast(octet_length(text) as bigint), 0L) AS n_bytes", "0L AS n_removed", "0L AS n_spans", "sha2(coalesce(text, ''), 256) AS kept_sha256", "cast(coalesce(text, '') as binary) AS kept")
-    return done.unionByName(plain)
+    both = done.unionByName(plain)
+    result = Table(spark, both if with_kept else both.drop("kept"), "kept")
+    found.drop()
+    more.drop()
+    return result.df
