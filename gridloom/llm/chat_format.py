@@ -24,6 +24,13 @@ class ChatTemplate:
     turn_close: str = "<|end|>\n"
     trainable_role: str = "assistant"
 
+    def __post_init__(self) -> None:
+        for marker in (self.turn_open, self.turn_close):
+            if marker[:1] not in ("<", "[") or "\\E" in marker:
+                raise ValueError(f"a marker begins with < or [, which texts can't hold, and has no \\E: {marker!r}")
+        if self.turn_open.startswith(self.turn_close) or self.turn_close.startswith(self.turn_open):
+            raise ValueError("no marker may begin with the other one")
+
 
 def _lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
@@ -43,7 +50,7 @@ def format_blocks(turns: DataFrame, template: ChatTemplate = ChatTemplate(), blo
 
     Input columns conv_id, turn, role, text; others are ignored. Null role or
     text counts as empty; turns with equal number are ordered by role and text;
-    null turn numbers come first; a null conv_id is a conversation of its own.
+    null turn numbers come first; all rows with a null conv_id are one conversation.
     """
     t = turns.selectExpr(
         "conv_id",
@@ -70,21 +77,32 @@ def format_blocks(turns: DataFrame, template: ChatTemplate = ChatTemplate(), blo
 
 
 def expand_examples(blocks: DataFrame) -> DataFrame:
-    """One row for each trainable turn: conv_id, turn, context_chars, loss_start, loss_end, as code-point offsets into the conversation's transcript (its blocks in order). The example's text is transcript[0:loss_end]."""
+    """One row for each trainable turn: conv_id, turn, block, place (within its block), context_chars, loss_start, loss_end, target.
+
+    The numbers are code-point offsets into the conversation's transcript (its
+    blocks in order): the context is transcript[0:context_chars], and only
+    transcript[loss_start:loss_end] is trainable; target is that reply,
+    unescaped. Texts of earlier turns are not copied.
+    """
+    at = blocks.select("conv_id", "block", "formatted", F.posexplode("targets").alias("place", "e"))
+    target = unescape("substring(formatted, cast(e.loss_start + 1 as int), cast(e.loss_end - e.loss_start as int))")
+    at = at.selectExpr("conv_id", "block", "place", "e", f"{target} AS target")
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    at = blocks.withColumn("_base", F.coalesce(F.sum("formatted_chars").over(before), F.lit(0))).select("conv_id", "_base", F.explode("targets").alias("e"))
-    return at.selectExpr("conv_id", "e.turn AS turn", "_base + e.context_end AS context_chars", "_base + e.loss_start AS loss_start", "_base + e.loss_end AS loss_end")
+    base = blocks.select("conv_id", "block", F.coalesce(F.sum("formatted_chars").over(before), F.lit(0)).alias("base"))  # one short row a block
+    base = base.withColumnsRenamed({"conv_id": "_conv", "block": "_block"})
+    at = at.join(base, F.expr("conv_id <=> _conv AND block = _block"))
+    return at.selectExpr("conv_id", "e.turn AS turn", "block", "place", "base + e.context_end AS context_chars", "base + e.loss_start AS loss_start", "base + e.loss_end AS loss_end", "target")
 
 
 def render_examples(blocks: DataFrame) -> DataFrame:
     """conv_id, turn, context, target: the examples as texts. Quadratic in a conversation's length by nature; for exports of a selection."""
     whole = blocks.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "formatted"))), lambda x: x["formatted"]), "").alias("whole"))
     e = expand_examples(blocks).join(whole.withColumnRenamed("conv_id", "_conv"), F.expr("conv_id <=> _conv"))
-    return e.selectExpr("conv_id", "turn", "substring(whole, 1, cast(context_chars as int)) AS context", unescape("substring(whole, cast(loss_start + 1 as int), cast(loss_end - loss_start as int))") + " AS target")
+    return e.selectExpr("conv_id", "turn", "substring(whole, 1, cast(context_chars as int)) AS context", "target")
 
 
 def read_back(blocks: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """conv_id, block, turns (array of role, text) and losses (array of text), parsed from the formatted text and the loss offsets alone."""
+    """conv_id, block, formatted_chars and turns (array of role, text), parsed from the formatted text alone."""
     close = _lit("\\Q" + template.turn_close + "\\E")
     return blocks.selectExpr(
         "conv_id",
@@ -93,24 +111,33 @@ def read_back(blocks: DataFrame, template: ChatTemplate = ChatTemplate()) -> Dat
         f"transform(filter(split(formatted, {close}), p -> p != ''), p -> named_struct("
         f"'role', {unescape(f'replace(substring_index(substring(p, {len(template.turn_open) + 1}), {_lit(chr(10))}, 1), {_lit("&#10;")}, {_lit(chr(10))})')}, "
         f"'text', {unescape(f'substring(p, {len(template.turn_open) + 2} + length(substring_index(substring(p, {len(template.turn_open) + 1}), {_lit(chr(10))}, 1)))')})) AS turns",
-        f"transform(targets, e -> {unescape('substring(formatted, cast(e.loss_start + 1 as int), cast(e.loss_end - e.loss_start as int))')}) AS losses",
     )
 
 
 def conversation_digests(blocks: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """Digests of what read_back() finds. SHA-256 has no combiner, so a conversation's text meets in one row here, already joined block by block."""
-    r = read_back(blocks, template).selectExpr(
+    """Digests of the turns that read_back() finds and of the examples that expand_examples() makes, by conversation.
+
+    SHA-256 has no combiner, so a conversation's text meets in one row here,
+    its turns already joined block by block.
+    """
+    turns = read_back(blocks, template).selectExpr(
         "conv_id",
-        "struct(block, array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), '') AS said, array_join(losses, '') AS loss) AS b",
+        "struct(block, array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), '') AS said) AS b",
         "cast(size(turns) as bigint) AS n",
         "formatted_chars",
+        "cast(null as struct<block:bigint,place:int,target:string>) AS e",
+        "cast(null as bigint) AS context_chars",
     )
-    g = r.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sort_array(F.collect_list("b")).alias("bs"), F.sum("formatted_chars").alias("formatted_chars"))
+    examples = expand_examples(blocks).selectExpr("conv_id", "cast(null as struct<block:bigint,said:string>) AS b", "0L AS n", "0L AS formatted_chars", "struct(block, place, target) AS e", "context_chars")
+    g = turns.unionByName(examples).groupBy("conv_id")
+    g = g.agg(F.sum("n").alias("n_turns"), F.sort_array(F.collect_list("b")).alias("bs"), F.sort_array(F.collect_list("e")).alias("es"), F.sum("formatted_chars").alias("formatted_chars"), F.coalesce(F.sum("context_chars"), F.lit(0)).alias("context_chars"))
     return g.selectExpr(
         "conv_id",
         "n_turns",
         "sha2(array_join(transform(bs, x -> x.said), ''), 256) AS turns_sha256",
-        "cast(aggregate(bs, 0L, (a, x) -> a + length(x.loss)) as bigint) AS loss_chars",
-        "sha2(array_join(transform(bs, x -> x.loss), ''), 256) AS loss_sha256",
+        "cast(aggregate(es, 0L, (a, x) -> a + length(x.target)) as bigint) AS loss_chars",
+        "sha2(array_join(transform(es, x -> x.target), ''), 256) AS loss_sha256",
         "formatted_chars",
+        "cast(size(es) as bigint) AS n_examples",
+        "context_chars",
     )

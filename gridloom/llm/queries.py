@@ -40,7 +40,7 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_removal.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+    return repeat_removal.remove_repeats(_read(spark, sf_dir, "documents"), with_kept=False)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +72,17 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_format": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, v.t, v.r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))
+  UNION ALL SELECT -7, v.t, v.r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+f AS (SELECT *, {head} + length({_ESC.format("role")}) + length({_ESC.format("text")}) AS chars FROM t),
+c AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum({head} + length({_ESC.format("role")}) + length({_ESC.format("text")})) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id""",
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (WHERE role = 'assistant') AS n_examples,
+  CAST(coalesce(sum(before) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS context_chars
+FROM c GROUP BY conv_id""",
         "op2_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

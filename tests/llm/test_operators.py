@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -55,7 +56,8 @@ def test_chat_round_trip_and_examples(spark):
     for r in chat_format.read_back(blocks).orderBy("conv_id", "block").collect():
         said.setdefault(r["conv_id"], ([], []))
         said[r["conv_id"]][0].extend((t["role"], t["text"]) for t in r["turns"])
-        said[r["conv_id"]][1].extend(r["losses"])
+    for r in chat_format.expand_examples(blocks).orderBy("conv_id", "block", "place").collect():
+        said[r["conv_id"]][1].append(r["target"])
     assert said[1] == ([("system", "a<b & [INST] c"), ("user", ""), ("assistant", "</s><|end|>\n<|turn|>x"), ("assistant", ""), ("assistant", "late &lt; é")], ["</s><|end|>\n<|turn|>x", "", "late &lt; é"])
     assert said[2] == ([("", "q"), ("user", "q"), ("user", "q")], [])
     assert said[None] == ([("assistant", "z")], ["z"])
@@ -66,6 +68,19 @@ def test_chat_round_trip_and_examples(spark):
     assert all(whole.startswith(e["context"]) and e["context"].endswith("<|end|>\n") for e in ex)
     assert ex[2]["context"].count("<|turn|>") == 4
     assert chat_format.format_blocks(turns.limit(0)).count() == 0
+    for bad in ({"turn_open": "turn>"}, {"turn_close": ""}, {"turn_open": "<a>", "turn_close": "<a>b"}):
+        with pytest.raises(ValueError):
+            chat_format.ChatTemplate(**bad)
+
+
+@pytest.mark.parametrize("name", ["op1_chat_format", "op2_topk_search", "op8_line_dedup"])
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("conversations", "embeddings", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
 # 2 top-k
@@ -281,20 +296,38 @@ def test_repeated_runs_small_alphabet(texts):
         return
     ids, buf, offs = got[0]
     text, start, n, h, g = repeat_removal.find_runs(buf, offs, length, seed)
-    c = {"doc": text.astype(np.int64), "h": h.astype(np.uint32), "g": g & np.uint64((1 << 48) - 1)}
-    flag = repeat_removal.judge_bucket(c)
+    c = {"doc": text.astype(np.int64), "h": h.astype(np.uint32), "g": g}
+    early = repeat_removal.led_by_smaller(c)
+    rest = np.flatnonzero(~early)
+    flag = early.astype(np.uint8)
+    flag[rest] = repeat_removal.judge_bucket({k: v[rest] for k, v in c.items()})
     gone = np.zeros(len(buf), bool)
     opened = np.flatnonzero(flag == 2)
     for k in np.flatnonzero(flag == 1):
         a = offs[text[k]] + start[k]
         gone[a : a + n[k] + length - 1] = True
     starts = np.concatenate([offs[text[k]] + start[k] + np.arange(n[k]) for k in opened]) if len(opened) else np.zeros(0, int)
-    hit = repeat_removal.repeated_starts(buf, starts, np.repeat(text[opened], n[opened]), length)
+    hit = repeat_removal.longest_previous_factors(buf, starts, np.repeat(text[opened], n[opened]), length) >= length
     for a in starts[hit]:
         gone[a : a + length] = True
     assert {i: int(gone[offs[i] : offs[i + 1]].sum()) for i in range(len(texts))} == {i: w[1] for i, w in want.items()}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=30), min_size=1, max_size=8), st.sampled_from([3, 8, 11]))
+def test_longest_previous_factors(texts, length):
+    data = [t.encode() + bytes([k + 1]) * length for k, t in enumerate(texts)]  # own endings: matches never cross documents
+    buf, doc, starts, base = np.frombuffer(b"".join(data), np.uint8), [], [], 0
+    for k, t in enumerate(data):
+        starts += range(base, base + len(t) - length + 1)
+        doc += [k] * (len(t) - length + 1)
+        base += len(t)
+    got = repeat_removal.longest_previous_factors(buf, np.array(starts), np.array(doc), length)
+    raw = bytes(buf)
+    common = lambda x, y: next((i for i in range(length) if raw[x + i] != raw[y + i]), length)
+    assert got.tolist() == [max((common(x, y) for y, e in zip(starts, doc) if e < d), default=0) for x, d in zip(starts, doc)]
+
+
 # 8 lines
 
 
