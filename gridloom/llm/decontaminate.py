@@ -9,6 +9,8 @@ aligning the texts around it and counting equal tokens.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ MIN_TOKENS = 5
 WINDOW, MIN_SHARE = 20, 0.8
 #: Bytes of benchmark text that one pass over the documents carries; a larger benchmark takes more passes.
 PASS_BYTES = 16 << 20
+#: Pairs of places of one seed that are listed one by one.
+HEAVY_PAIRS = 4096
 
 
 def _masks(n: int) -> list[tuple[int, ...]]:
@@ -47,6 +51,17 @@ def _window_hashes(h: np.ndarray, mask, span: int) -> np.ndarray:
     return mix64(out)
 
 
+def _differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distinct x[i] - y[j]: by pairs if few, else by correlation of the two sets' indicators."""
+    if len(x) * len(y) <= HEAVY_PAIRS:
+        return np.unique(x[:, None] - y)
+    low, high = int(x.min()), int(y.max())
+    a, b = np.zeros(int(x.max()) - low + 1), np.zeros(high - int(y.min()) + 1)
+    a[x - low], b[high - y] = 1, 1
+    size = 1 << (len(a) + len(b) - 1).bit_length()
+    return np.flatnonzero(np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size) > 0.5) + low - high
+
+
 class SeedIndex:
     """The benchmark's tokens and its sorted seed hashes, by mask."""
 
@@ -72,19 +87,49 @@ class SeedIndex:
                 self.seeds.append((span, mask, w, k[order], p[order], small))
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct (text, item, shift) for which a seed of the text meets one of the item; item token j lies at the text's token j + shift."""
-        out = []
+        """Distinct (text, item, shift) for which a seed of the text meets one of the item; item token j lies at the text's token j + shift.
+
+        A seed that a text repeats gives its shifts as differences of two sets
+        of places, so a text of equal words costs its length, not its length
+        times the item's.
+        """
+        out: list[np.ndarray] = []
+        held = 0
+
+        def add(rows: np.ndarray) -> None:
+            nonlocal out, held
+            out.append(rows)
+            held += len(rows)
+            if held > 1 << 20:
+                out = [np.unique(np.concatenate(out), axis=0)]
+                held = 0
+
         for span, mask, w, k, p, small in self.seeds:
             x = _window_hashes(h, mask, span)
             at = np.flatnonzero(small[(x >> np.uint64(44)).astype(np.int64)]) if len(x) else np.zeros(0, np.int64)
+            text = np.searchsorted(first, at, side="right") - 1
             lo, hi = np.searchsorted(w, x[at], "left"), np.searchsorted(w, x[at], "right")
-            n = hi - lo
-            if n.sum():
-                seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat(at, n)
-                text = np.searchsorted(first, at, side="right") - 1
-                inside = at + span <= first[text + 1]
-                out.append(np.column_stack([text, k[seed], at - first[text] - p[seed]])[inside])
+            ok = (hi > lo) & (at + span <= first[text + 1])
+            at, text, lo, hi = at[ok], text[ok], lo[ok], hi[ok]
+            if not len(at):
+                continue
+            order = np.lexsort((at, lo, text))
+            at, text, lo, hi = at[order], text[order], lo[order], hi[order]
+            begin = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (lo[1:] != lo[:-1]))))
+            count = np.diff(np.append(begin, len(at)))
+            heavy = count * (hi - lo)[begin] > HEAVY_PAIRS
+            light = np.flatnonzero(~np.repeat(heavy, count))
+            for part in np.split(light, np.flatnonzero(np.diff(np.cumsum((hi - lo)[light]) >> 20)) + 1):
+                n = (hi - lo)[part]
+                seed = np.repeat(lo[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                add(np.column_stack([np.repeat(text[part], n), k[seed], np.repeat(at[part] - first[text[part]], n) - p[seed]]))
+            for g in np.flatnonzero(heavy):
+                a, b = begin[g], begin[g] + count[g]
+                places = at[a:b] - first[text[a]]
+                items, start = np.unique(k[lo[a] : hi[a]], return_index=True)
+                for item, own in zip(items, np.split(p[lo[a] : hi[a]], start[1:])):
+                    shifts = _differences(places, own)
+                    add(np.column_stack([np.full(len(shifts), text[a]), np.full(len(shifts), item), shifts]))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
     def overlap(self, h: np.ndarray, item: int, shift: int) -> int:
@@ -99,13 +144,24 @@ class SeedIndex:
         return best if best >= MIN_SHARE * size else 0
 
 
+_INDEX: dict[str, SeedIndex] = {}
+
+
+def _index(key: str, shared) -> SeedIndex:
+    """One index at a time for each worker process."""
+    if key not in _INDEX:
+        _INDEX.clear()
+        _INDEX[key] = SeedIndex(shared.value)
+    return _INDEX[key]
+
+
 def _slices(benchmark: DataFrame, pass_bytes: int):
-    """The benchmark in broadcasts of about ``pass_bytes`` at most each."""
+    """A key and a broadcast for each part of the benchmark, of about ``pass_bytes`` at most each."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     n = blocks_for(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0, pass_bytes)
     for s in range(n):
         rows = items.where(f"pmod(xxhash64(item_id, text), {n}) = {s}").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(sorted({(r[0], r[1]) for r in rows}))
+        yield uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(sorted({(r[0], r[1]) for r in rows}))
 
 
 def _judged(batches, index: SeedIndex):
@@ -131,10 +187,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_B
     id are one document.
     """
     out = None
-    for shared in _slices(benchmark, pass_bytes):
+    for key, shared in _slices(benchmark, pass_bytes):
 
-        def run(batches, shared=shared):
-            for rows, found, most in _judged(batches, SeedIndex(shared.value)):
+        def run(batches, key=key, shared=shared):
+            for rows, found, most in _judged(batches, _index(key, shared)):
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array(most, pa.int64())], names=["doc_id", "item_ids", "matched"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
@@ -146,10 +202,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_B
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of docs, all columns, that overlap with no item; each pass filters what the last one left, without a shuffle."""
-    for shared in _slices(benchmark, pass_bytes):
+    for key, shared in _slices(benchmark, pass_bytes):
 
-        def run(batches, shared=shared):
-            for rows, found, _ in _judged(batches, SeedIndex(shared.value)):
+        def run(batches, key=key, shared=shared):
+            for rows, found, _ in _judged(batches, _index(key, shared)):
                 yield rows.filter(pa.array([not f for f in found], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

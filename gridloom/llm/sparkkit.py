@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import math
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,10 +16,12 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a private one only where that is unset and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _OWN_DIR:
         _OWN_DIR["dir"] = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, _OWN_DIR["dir"], ignore_errors=True)

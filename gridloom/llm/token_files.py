@@ -18,11 +18,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm.sparkkit import fresh_path, shuffle_partitions
+from gridloom.llm.sparkkit import Table, fresh_path, remove_path, shuffle_partitions
 from gridloom.llm.textkit import batch_chunks, chunks, prefix_hash, range_hash
 
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
@@ -78,10 +78,11 @@ _WIDE_SPACES = re.compile(b"\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa
 
 
 class _Known:
-    """Ids of pieces by the piece's 64-bit hash: a sorted table."""
+    """Ids of pieces by the piece's 64-bit hash: a sorted table, which holds the pieces' bytes too."""
 
     def __init__(self, dtype: np.dtype):
         self.hashes, self.start, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+        self.text, self.text_at, self.text_len = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Row of each hash, -1 if unknown."""
@@ -90,12 +91,26 @@ class _Known:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, at, -1)
 
-    def add(self, h: np.ndarray, begin: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def differ(self, rows: np.ndarray, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Whether buf[start:start+len] is not the text of its row."""
+        out = self.text_len[rows] != lens
+        same = np.flatnonzero(~out)
+        wrong = buf[_ragged(starts[same], lens[same])] != self.text[_ragged(self.text_at[rows[same]], lens[same])]
+        if wrong.any():
+            out[same[np.searchsorted(np.cumsum(lens[same]), np.flatnonzero(wrong), side="right")]] = True
+        return out
+
+    def add(self, h: np.ndarray, text: tuple[np.ndarray, np.ndarray, np.ndarray], begin: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """text: a buffer, and where each piece starts and ends in it."""
+        buf, a, b = text
         order, start = np.argsort(h), begin + len(self.ids)
+        text_at = len(self.text) + np.cumsum(b - a) - (b - a)
         at = np.searchsorted(self.hashes, h[order])
         self.hashes = np.insert(self.hashes, at, h[order])
         self.start, self.size = np.insert(self.start, at, start[order]), np.insert(self.size, at, sizes[order])
+        self.text_at, self.text_len = np.insert(self.text_at, at, text_at[order]), np.insert(self.text_len, at, (b - a)[order])
         self.ids = np.concatenate((self.ids, ids))
+        self.text = np.concatenate((self.text, buf[_ragged(a, b - a)]))
 
 
 @functools.lru_cache(maxsize=2)
@@ -114,8 +129,8 @@ class PieceEncoder:
     Pieces are cut where the split pattern must begin a match whatever comes
     before: a blank or line feed after a non-space, a comma or full stop after
     an ASCII letter or digit. So pieces encode as they do within the text.
-    Pieces are found, told apart and looked up by hash in numpy. New pieces
-    are encoded together, again because cuts there change nothing, and told
+    Pieces are found and looked up by hash in numpy, and every one is compared
+    with the remembered text. New pieces are encoded together, again because cuts there change nothing, and told
     apart by their lengths in bytes.
     """
 
@@ -171,23 +186,22 @@ class PieceEncoder:
         h[ends - starts > MAX_KNOWN_BYTES] |= np.uint64(1)
         h[ends - starts <= MAX_KNOWN_BYTES] &= ~np.uint64(1)
         uniq, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        long = np.flatnonzero(ends[at] - starts[at] > MAX_KNOWN_BYTES)
         row = known.find(uniq)
-        row[long] = -1
         new = np.flatnonzero((row < 0) & ~(uniq & np.uint64(1)).astype(bool))
         if len(new):
-            known.add(uniq[new], *self._encode_new(raw, buf, starts[at[new]], ends[at[new]]))
+            a, b = starts[at[new]], ends[at[new]]
+            known.add(uniq[new], (buf, a, b), *self._encode_new(raw, buf, a, b))
             row = known.find(uniq)
-        begin, size = known.start[row], known.size[row]
-        store = known.ids
-        if len(long):  # every long piece by itself
-            every = np.flatnonzero(ends - starts > MAX_KNOWN_BYTES)
+        rows = row[inverse]
+        alone = ends - starts > MAX_KNOWN_BYTES
+        short = np.flatnonzero(~alone)
+        alone[short] = known.differ(rows[short], buf, starts[short], (ends - starts)[short])
+        piece_begin, piece_size, store = known.start[rows], known.size[rows], known.ids
+        every = np.flatnonzero(alone)  # long pieces, and others with a remembered piece's hash, each by itself
+        if len(every):
             first, sizes, ids = self._encode_new(raw, buf, starts[every], ends[every])
-            piece_begin, piece_size = begin[inverse], size[inverse]
             piece_begin[every], piece_size[every] = len(store) + first, sizes
             store = np.concatenate((store, ids))
-        else:
-            piece_begin, piece_size = begin[inverse], size[inverse]
         total = np.concatenate(([0], np.cumsum(piece_size)))
         return store[_ragged(piece_begin, piece_size)], total[np.searchsorted(starts, offs)]
 
@@ -213,11 +227,15 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: i
     """Write ``path``/data and ``path``/index; return the index, made by reading the files back: file, doc_id, offset, n_tokens, ids_crc32.
 
     Null text is empty and gives the end id alone; documents with a null id
-    come first; repeated ids keep one record each. ``width`` 2 suits
-    vocabularies under 65,536 ids.
+    come first; repeated ids keep one record each. ``width`` 2 takes ids under
+    65,536; a vocabulary with others is an error. Spark has no binary sink, so
+    records pass its text writer as unchecked strings, of which it writes the
+    bytes; read_records() verifies every checksum.
     """
     spark = docs.sparkSession
     dtype = "<u2" if width == 2 else "<u4"
+    if max(end_id, *load_tokenizer(tokenizer_file).get_vocab().values()) >= 1 << 8 * np.dtype(dtype).itemsize:
+        raise ValueError(f"ids of this vocabulary need more than {width} bytes")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(shuffle_partitions(spark), -(-size // FILE_BYTES))
     ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
@@ -282,21 +300,25 @@ def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").select("content").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def token_table(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """Write the files into the shared folder, read them back: doc_id, start, n_tokens, ids_crc32.
+def with_starts(records: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 from an index: ``start`` counts the ids before the document in doc_id order.
 
-    ``start`` counts the ids before the document in doc_id order. Files are
-    ordered by their ranges, so only per-file totals (one row a file) meet in
-    one task; within a file a window runs over its own records.
+    Files hold ranges of doc_id in order of their part numbers (as numbers:
+    names stop sorting at part 100,000), so only per-file totals (one row a
+    file) meet in one task; within a file a window runs over its own records.
     """
-    from pyspark.sql import Window
-
-    spark = docs.sparkSession
-    path = fresh_path(spark, "tokens")
-    records = write_token_files(docs, tokenizer_file, path)
     inside = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    totals = records.groupBy("file").agg(F.sum("n_tokens").alias("total"))
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
+    totals = records.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumn("part", F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long"))
     totals = totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     local = records.withColumn("_local", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return local.join(totals, "file").selectExpr("doc_id", "base + _local AS start", "n_tokens", "ids_crc32")
+
+
+def token_table(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+    """Write the files into the shared folder, read them back: doc_id, start, n_tokens, ids_crc32; the files are removed again."""
+    spark = docs.sparkSession
+    path = fresh_path(spark, "tokens")
+    out = Table(spark, with_starts(write_token_files(docs, tokenizer_file, path)), "token-table")
+    remove_path(spark, path)
+    return out.df

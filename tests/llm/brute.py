@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 
@@ -135,3 +136,29 @@ def top_k(vectors, k):
 
 def crc_mod3(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 3
+
+
+def toxicity(text, weights, coef, none, fold, fold_light):
+    """The score of words looked up one by one, without an automaton or exceptions."""
+    word, found = re.compile(r"[^\W_]+"), []
+    for mark, folded in (("", fold(text)), ("~", "" if text.isascii() else fold_light(text))):
+        for w in word.findall(folded):
+            if not mark or not w.isascii():
+                best = [weights.get(f"{mark}{w}$", 0.0), *(weights.get(mark + w[:n], 0.0) for n in range(1, len(w) + 1))]
+                found += [max(best)] if max(best) else []
+    if not found:
+        return none
+    total, hundreds = sum(found), fold(text).count(" ") / 100
+    z = coef[0] + sum(c * m for c, m in zip(coef[1:], (max(found, default=0.0), math.log1p(total), total / (1 + hundreds), math.log1p(hundreds))))
+    return 1 / (1 + math.exp(-z))
+
+
+def overlap(text, item, window, share, least):
+    """Most equal tokens over any window of any alignment that reaches the share, or 0."""
+    size, best = min(window, len(item)), 0
+    if len(item) < least:
+        return 0
+    for i in range(len(item) - size + 1):
+        for j in range(len(text) - size + 1):
+            best = max(best, sum(a == b for a, b in zip(item[i : i + size], text[j : j + size])))
+    return best if best >= share * size else 0
