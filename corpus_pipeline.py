@@ -7,19 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe_tree, decontaminate, line_dedup, near_dedup, toxicity
-from gridloom.llm.sparkkit import Table
+from gridloom.llm.sparkkit import Table, free_name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity lexicon does not reject."""
     lexicon = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_documents(docs, lexicon, docs.columns).where("predicted = 0").select(*docs.columns)
+    score, predicted = (free_name(x, docs.columns) for x in ("score", "predicted"))
+    return toxicity.score_documents(docs, lexicon, docs.columns, out=(score, predicted)).where(f"{predicted} = 0").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that a smaller document holds; every document stays, n_chars follows its text."""
-    out = line_dedup.dedup_lines(docs)
-    return out.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    lines, dropped, kept = (free_name(x, docs.columns) for x in ("n_lines", "n_dropped", "kept_text"))
+    out, changed = line_dedup.dedup_lines(docs, out=(lines, dropped, kept)), F.col(dropped) > 0
+    return out.withColumn("text", F.when(changed, F.col(kept)).otherwise(F.col("text"))).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = Table(spark, stage(spark, docs, sf_dir), name).df
-    return Table(spark, STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0]).df
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        now = Table(spark, stage(spark, docs, sf_dir), name)
+        if before is not None:
+            before.drop()
+        docs, before = now.df, now
+    return docs
