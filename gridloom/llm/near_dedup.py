@@ -29,8 +29,8 @@ TREES, DEPTH, MORE_DEPTH = 20, 3, 4
 SMALL_NODE, LEAF = 8, 64
 #: Keys by which a class finds leaders; one large node in SAMPLE_NODES is compared before all the others.
 KEYS, SAMPLE_NODES = 12, 8
-#: Members of a large node that one task compares with as many others.
-BLOCK = 1 << 14
+#: Shingles of members of a large node that one task compares with as many others.
+BLOCK = 1 << 22
 #: Minwise tokens of a fine sketch, and how many of them a first comparison takes.
 FINE, FIRST = 512, 128
 #: Pairs whose sketches agree by so much less than the threshold reach it with a chance of about 1e-6.
@@ -143,27 +143,27 @@ def _small_pairs(mixed: DataFrame) -> DataFrame:
     return small.selectExpr("explode(filter(flatten(transform(m, (x, i) -> transform(slice(m, 1, i), y -> struct(x.id AS a, y.id AS b, x.c != y.c AS apart)))), p -> p.apart)) AS p").selectExpr("p.a", "p.b")
 
 
-def _fine(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """id, fine: FINE minwise tokens of 8 bits of the classes in members (id, doc)."""
+def _bodies(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """id, fine, full: FINE minwise tokens of 8 bits and the whole set of the classes in members (id, doc)."""
 
     def run(batches):
         for _, buf, offs in batch_chunks(batches, "doc_id", "text"):
             sets, at = shingle_sets(buf, offs, words)
-            fine = sketch(sets, at, FINE) >> np.uint16(8)
-            yield pa.RecordBatch.from_arrays([pa.array(_set_keys(sets, at, SALTS[0])), pa.array([r.tobytes() for r in fine.astype(np.uint8)], pa.binary())], names=["id", "fine"])
+            fine = (sketch(sets, at, FINE) >> np.uint16(8)).astype(np.uint8)
+            full = [sets[at[k] : at[k + 1]].tobytes() for k in range(len(at) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(_set_keys(sets, at, SALTS[0])), pa.array([r.tobytes() for r in fine], pa.binary()), pa.array(full, pa.binary())], names=["id", "fine", "full"])
 
-    found = docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(run, "id long, fine binary")
+    found = docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(run, "id long, fine binary, full binary")
     return found.join(members.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
-def node_pairs(path: int, fine: np.ndarray, c: np.ndarray, n: np.ndarray, allowed, share: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of pairs of one node that lie in different components and whose sizes and sketches allow the threshold.
+def node_pairs(path: int, fine: np.ndarray, c: np.ndarray, n: np.ndarray, allowed, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs of one node that lie in different components and whose sizes and sketches allow the threshold, the most similar ones first.
 
     The node branches on by coordinates of the fine sketch, MORE_DEPTH levels
     at most, until a child is small; children of one component end there. All
     members outside a child's largest component meet all its members.
-    ``allowed`` (rows, rows -> bool) restricts pairs; ``most`` keeps that many
-    pairs a member, the most similar ones.
+    ``allowed`` (rows, rows -> bool) restricts pairs.
     """
     stack, found = [(np.uint64(path & (1 << 64) - 1), np.arange(len(c)), 0)], []
     floor = share / 100 - FINE_SLACK
@@ -173,7 +173,7 @@ def node_pairs(path: int, fine: np.ndarray, c: np.ndarray, n: np.ndarray, allowe
         if len(kinds) < 2:
             continue
         if len(rows) > LEAF and depth < MORE_DEPTH:
-            one = int(mix64(np.array([p + np.uint64(0x5851F42D4C957F2D)], np.uint64))[0])
+            one = int(mix64(np.array([int(p) + 0x5851F42D4C957F2D & (1 << 64) - 1], np.uint64))[0])
             coords = [one % FINE, (one >> 20) % FINE]
             for k in dict.fromkeys(coords if one >> 60 < 4 else coords[:1]):
                 order = rows[np.argsort(fine[rows, k], kind="stable")]
@@ -197,35 +197,54 @@ def node_pairs(path: int, fine: np.ndarray, c: np.ndarray, n: np.ndarray, allowe
                 est = (fine[x] == fine[y]).mean(axis=1)
                 found.append(np.stack((np.maximum(x, y), np.minimum(x, y), (est * FINE).astype(np.int64)))[:, est >= floor])
     p = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
-    if most is not None and p.shape[1]:
-        member, est, row = np.concatenate((p[0], p[1])), np.tile(p[2], 2), np.tile(np.arange(p.shape[1]), 2)
-        order = np.lexsort((-est, member))
-        begin = np.concatenate(([True], member[order][1:] != member[order][:-1]))
-        rank = np.arange(len(order)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
-        p = p[:, np.unique(row[order][rank < most])]
+    p = p[:, np.argsort(-p[2], kind="stable")]
     return p[0], p[1]
 
 
-def _large_pairs(mixed: DataFrame, classes: DataFrame, fine: DataFrame, share: int, most: int | None) -> DataFrame:
-    """a > b: pairs of large nodes, by node_pairs. mixed: path, id, c, of nodes over SMALL_NODE.
+def node_links(i: np.ndarray, j: np.ndarray, c: np.ndarray, full: list[bytes], share: int) -> list[int]:
+    """Which of the pairs (i, j) are links, by full sets; pairs that earlier links or components (c) join already are not compared."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+        a, b = find(int(c[x])), find(int(c[y]))
+        if a != b and _linked_sets(full[x], full[y], share):
+            parent[a] = b
+            out.append(k)
+    return out
+
+
+def _large_links(large: DataFrame, classes: DataFrame, bodies: DataFrame, share: int) -> DataFrame:
+    """a > b: links of large nodes that join different components; large: path, id, c.
 
     Members outside a node's largest component are dealt into blocks, which
-    meet each other and the blocks of the largest component; no task holds more
-    than two blocks at once.
+    meet each other and the blocks of the largest component; a task holds two
+    blocks of bounded size at once, with their full sets. What it returns is a
+    forest, so links are no more than members, whatever the pairs compared.
     """
-    nodes = mixed.groupBy("path", "c").agg(F.count("*").alias("m")).groupBy("path").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("n")).where("n > top.m")
-    nodes = nodes.selectExpr("path", "top.c AS top", f"cast(ceil((n - top.m) / {BLOCK}) AS int) AS rest", f"cast(ceil(top.m / {BLOCK}) AS int) AS tops", f"n <= {BLOCK} AS whole")
-    dealt = mixed.join(nodes, "path").withColumn("at", F.expr("if(whole, 0, if(c = top, rest + pmod(xxhash64(id, path), tops), pmod(xxhash64(id, path), rest)))"))
-    cells = dealt.selectExpr("path", "id", "c", "at", "explode(if(whole, array(0), sequence(0, if(c = top, rest, rest + tops) - 1))) AS other").selectExpr("path", "id", "c", "at", "least(at, other) AS x", "greatest(at, other) AS y")
+    members = large.join(classes.select("id", "n"), "id")
+    size = f"CAST(ceil({{}} / {BLOCK}) AS int)"
+    nodes = members.groupBy("path", "c").agg(F.sum("n").alias("m")).groupBy("path").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("n")).where("n > top.m")
+    nodes = nodes.selectExpr("path", "top.c AS top", f"{size.format('(n - top.m)')} AS rest", f"{size.format('top.m')} AS tops", f"n <= {BLOCK} AS whole")
+    dealt = members.join(nodes, "path").withColumn("at", F.expr("if(whole, 0, if(c = top, rest + pmod(xxhash64(id, path), tops), pmod(xxhash64(id, path), rest)))"))
+    cells = dealt.selectExpr("path", "id", "c", "n", "at", "explode(if(whole, array(0), sequence(0, if(c = top, rest, rest + tops) - 1))) AS other").selectExpr("path", "id", "c", "n", "at", "least(at, other) AS x", "greatest(at, other) AS y")
 
     def run(cell: pa.Table) -> pa.Table:
         ids, c, n, at, x, y = (cell.column(k).to_numpy() for k in ("id", "c", "n", "at", "x", "y"))
-        data = np.frombuffer(b"".join(cell.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+        fine = np.frombuffer(b"".join(cell.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
         allowed = (lambda l, r: at[l] != at[r]) if len(x) and x[0] != y[0] else (lambda l, r: True)
-        i, j = node_pairs(int(cell.column("path")[0].as_py()) if len(x) else 0, data, c, n, allowed, share, most)
-        return pa.table({"a": np.maximum(ids[i], ids[j]), "b": np.minimum(ids[i], ids[j])})
+        i, j = node_pairs(int(cell.column("path")[0].as_py()) if len(x) else 0, fine, c, n, allowed, share)
+        ok = node_links(i, j, c, cell.column("full").to_pylist(), share) if len(i) else []
+        i, j = ids[i[ok]], ids[j[ok]]
+        return pa.table({"a": np.maximum(i, j), "b": np.minimum(i, j)})
 
-    return cells.join(classes.select("id", "n"), "id").join(fine, "id").groupBy("path", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return cells.join(bodies, "id").groupBy("path", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
@@ -244,18 +263,19 @@ def _similar(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, same double")
 
 
+def _linked_sets(p: bytes, q: bytes, share: int) -> bool:
+    u = np.sort(np.concatenate((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64))), kind="stable")
+    both = int((u[1:] == u[:-1]).sum())
+    return 100 * both >= share * (len(u) - both)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Pairs (a, b) with 100 * |both| >= share * |either|, counted on full sets."""
 
     def run(batches):
         for b in slices(batches):
             x, y = b.column("sa").to_pylist(), b.column("sb").to_pylist()
-            ok = []
-            for p, q in zip(x, y):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                u = np.sort(np.concatenate((p, q)), kind="stable")
-                both = int((u[1:] == u[:-1]).sum())
-                ok.append(100 * both >= share * (len(u) - both))
+            ok = [_linked_sets(p, q, share) for p, q in zip(x, y)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     j = pairs.join(sets.selectExpr("id AS a", "full AS sa"), "a").join(sets.selectExpr("id AS b", "full AS sb"), "b")
@@ -315,8 +335,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, share: int) ->
 
     First every class meets one leader; what that unites counts as one
     component, and only nodes of several components are compared further:
-    small ones whole, of large ones a part with a few pairs a member, then, with
-    the components joined again, all that are left, whole.
+    small ones, a part of the large ones, and, with the components joined
+    again, all the others.
     """
     spark = docs.sparkSession
     links = _linked(spark, Table(spark, _leaders(classes, share), "pairs"), None, docs, classes, words, share)
@@ -326,19 +346,17 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, share: int) ->
 
     mixed = Table(spark, _mixed(_frontier(at_home(classes.select("id", "sketch")))), "nodes")
     large = mixed.df.where(f"n > {SMALL_NODE}").select("path", "id", "c")
-    if large.isEmpty():
-        pairs = _similar(_small_pairs(mixed.df).distinct(), classes, share).select("a", "b")
-        links = _linked(spark, Table(spark, pairs, "pairs"), links, docs, classes, words, share)
-        mixed.drop()
-        return links
-    fine = Table(spark, _fine(docs, classes.select("id", "doc").join(large.select("id").distinct(), "id", "left_semi"), words), "fine")
-    part = _large_pairs(large.where(f"pmod(path, {SAMPLE_NODES}) = 0"), classes, fine.df, share, 2)
-    todo = Table(spark, _similar(_small_pairs(mixed.df).distinct(), classes, share).select("a", "b").unionByName(part).distinct(), "pairs")
-    links = _linked(spark, todo, links, docs, classes, words, share)
-    now = at_home(large.drop("c")).select("path", "id", F.coalesce("c", "id").alias("c"))
-    links = _linked(spark, Table(spark, _large_pairs(now, classes, fine.df, share, None), "pairs"), links, docs, classes, words, share)
+    pairs = Table(spark, _similar(_small_pairs(mixed.df).distinct(), classes, share).select("a", "b"), "pairs")
+    links = _linked(spark, pairs, links, docs, classes, words, share)
+    if not large.isEmpty():
+        bodies = Table(spark, _bodies(docs, classes.select("id", "doc").join(large.select("id").distinct(), "id", "left_semi"), words), "bodies")
+        for nodes in (f"pmod(path, {SAMPLE_NODES}) = 0", f"pmod(path, {SAMPLE_NODES}) != 0"):
+            now = at_home(large.where(nodes).drop("c")).select("path", "id", F.coalesce("c", "id").alias("c"))
+            merged = components(spark, _large_links(now, classes, bodies.df, share).unionByName(links.df))
+            links.drop()
+            links = merged
+        bodies.drop()
     mixed.drop()
-    fine.drop()
     return links
 
 
