@@ -26,8 +26,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-r", "--recursive", action="store_true")
     p.add_argument("-c", "--config")
     p.add_argument("--save-config")
-    p.add_argument("-g", "--group-by", type=_list)
-    p.add_argument("-s", "--sum", type=_list, default=[])
+    p.add_argument("-g", "--group-by", type=_list, action="extend")
+    p.add_argument("-s", "--sum", type=_list, action="extend", default=[])
     p.add_argument("-a", "--agg", action="append", default=[])
     p.add_argument("--count-column", action="store_true")
     p.add_argument("--pivot")
@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--role", action="append", default=[])
     p.add_argument("--keep-name-in-table", action="store_true")
     p.add_argument("--dedup", choices=("off", "mark", "drop"))
-    p.add_argument("--dedup-cols", type=_list)
+    p.add_argument("--dedup-cols", type=_list, action="extend")
     p.add_argument("-m", "--map", action="append", default=[])
     p.add_argument("--type", action="append", default=[])
     p.add_argument("--header-row", action="append", default=[])

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.natural import sort_columns
 from gridloom.operators.aggregate import COUNT, ITEM, TOTAL, agg_column_name, aggregate_column, grouped, is_numeric, key_label, normalized_key
 
 # Words by which a header is a rate, and words that overrule them.
@@ -72,4 +73,5 @@ def summarize_auto(df: DataFrame, plan: AutoPlan, order: list[str]) -> DataFrame
         best = votes.groupBy("_k").agg(F.min_by("_v", F.struct("_c", "_p")).alias(f"_name{i}"))
         base = base.join(best, base[plan.key].eqNullSafe(best["_k"]) & (base["_total"] == 0), "left").drop("_k")
     label = F.when(F.col("_total") == 1, TOTAL).otherwise(key_label(F.col(f"`{plan.key}`"), kinds[plan.key]))
+    base = base.orderBy("_total", *sort_columns(plan.key, kinds[plan.key]))
     return base.select(label.alias(plan.key), *(F.col(f"_name{i}").alias(n) for i, n in enumerate(plan.names)), *(f"`出现{e}数`" for e in plan.entities), *(f"`{n}`" for n in names))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridloom.operators.schema import normalize_header
+from gridloom.sources.grid import cell_kinds
 
 HEADER_SEARCH_ROWS = 20
 # What marks a total row.
@@ -75,10 +76,8 @@ def build_table(grid: list[list], header_row: int | None = None):
     header = list(grid[at]) + [None] * (width - len(grid[at]))
     names = column_names(header)
     known = {normalize_header(v): i for i, v in reversed(list(enumerate(header))) if not is_blank(v)}
-    used = [i for i in range(width) if not is_blank(header[i]) or any(i < len(r) and not is_blank(r[i]) for r in grid[at + 1 :])]
-    yield "header", at + 1, [names[i] for i in used], None
     place = list(range(width))
-    rows = 0
+    out: list[tuple] = []
     for n, raw in enumerate(grid[at + 1 :], at + 2):
         filled = [(i, v) for i, v in enumerate(raw) if not is_blank(v)]
         if not filled:
@@ -88,16 +87,29 @@ def build_table(grid: list[list], header_row: int | None = None):
             place = [-1] * width
             for i, j in hits:
                 place[j] = i
-            yield "issue", n, None, "提示|表头识别|再次出现表头，其后按新表头对应"
+            gone = [names[j] for j in range(width) if place[j] < 0 and not is_blank(header[j])]
+            out.append(("issue", n, None, "提示|表头识别|再次出现表头，其后按新表头对应" + (f"；新表头没有：{'、'.join(gone)}" if gone else "")))
             continue
         row = [raw[i] if 0 <= i < len(raw) else None for i in place]
         if is_total_row(row):
-            yield "issue", n, None, "提示|跳过合计行|"
-            continue
-        if len(filled) == 1 and width >= 4 and is_text(filled[0][1]):
-            yield "issue", n, None, "提示|跳过说明行|"
-            continue
-        rows += 1
-        yield "row", n, [None if row[i] is None else str(row[i]) for i in used], None
+            out.append(("issue", n, None, "提示|跳过合计行|" + _shown(filled)))
+        elif len(filled) == 1 and width >= 4 and is_text(filled[0][1]):
+            out.append(("issue", n, None, "提示|跳过说明行|" + _shown(filled)))
+        else:
+            out.append(("row", n, row, None))
+    rows = [r for kind, _, r, _ in out if kind == "row"]
+    used = [i for i in range(width) if not is_blank(header[i]) or any(not is_blank(r[i]) for r in rows)]
+    yield "header", at + 1, [names[i] for i in used], None
+    for kind, n, row, note in out:
+        if kind == "row":
+            cells = [row[i] for i in used]
+            yield kind, n, [None if v is None else str(v) for v in cells], cell_kinds(cells)
+        else:
+            yield kind, n, None, note
     if not rows:
         yield "issue", None, None, "警告|无数据行|"
+
+
+def _shown(filled: list[tuple[int, object]]) -> str:
+    """The row's cells for a message."""
+    return " ".join(str(v).strip() for _, v in filled)[:100]

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.clean import clean_value, is_month_day
+from gridloom.functions.clean import clean_value, is_month_day, with_year
 from gridloom.operators import auto
 from gridloom.operators.aggregate import check_aggs, normalize_agg_func, subtotals, summarize
 from gridloom.operators.dedup import LINEAGE, deduplicate
@@ -20,7 +20,7 @@ from gridloom.operators.schema import AliasStore, column_order, column_types, re
 from gridloom.plans.config import TaskSpec
 from gridloom.plans.issues import COLUMNS, ERROR, INFO, WARNING, Issues
 from gridloom.sinks.xlsx import safe_filename, sheet, write_xlsx
-from gridloom.sources.workbook import read_folder
+from gridloom.sources.workbook import folder_exists, read_folder
 
 FILE, SHEET, ROW = LINEAGE
 ORD = "_sheet_ord"
@@ -60,6 +60,11 @@ def plan_tables(spark: SparkSession, spec: TaskSpec, store: AliasStore, issues:
     return Tables(bronze, plans, header_rows)
 
 
+def remap(tables: Tables, store: AliasStore, mapping: dict[str, str | None]) -> Tables:
+    """The same tables with suggestions by another mapping; no file is read again."""
+    return Tables(tables.bronze, [(file, name, headers, suggest_for_columns(headers, store, mapping)[0]) for file, name, headers, _ in tables.plans], tables.header_rows)
+
+
 def _admit(tables: Tables, spec: TaskSpec, store: AliasStore, issues: Issues) -> list[tuple[str, str, list[str], list[str | None]]]:
     """Sheets that take part; where any has a canonical column, sheets without one are left out."""
     hits = lambda found: any(s.target in store.columns and s.status in ("自动", "手动", "待确认") for s in found)
@@ -91,24 +96,28 @@ def build_detail(spark: SparkSession, spec: TaskSpec, store: AliasStore, issues:
     # The plan has one row a sheet; Spark broadcasts it if its size allows.
     raw = tables.bronze.where("kind = 'row'").join(plan, ["file", "sheet"])
     cell = {c: F.get("cells", F.get("at", F.lit(i))) for i, c in enumerate(columns)}
-    raw = raw.select(F.col("file").alias(FILE), F.col("sheet").alias(SHEET), F.col("row_no").alias(ROW), F.col("sheet_ord").alias(ORD), "header_row", "at", "heads", *(cell[c].alias(f"r{i}") for i, c in enumerate(columns)))
+    raw = raw.select(F.col("file").alias(FILE), F.col("sheet").alias(SHEET), F.col("row_no").alias(ROW), F.col("sheet_ord").alias(ORD), "header_row", "at", "heads", *(cell[c].alias(f"r{i}") for i, c in enumerate(columns)), *(F.coalesce(F.nullif(F.substring("note", F.get("at", F.lit(i)) + 1, F.lit(1)), F.lit("")), F.lit("t")).alias(f"k{i}") for i in range(len(columns))))
     dates = [i for i, c in enumerate(columns) if types[c] == "date"]
+    cleaned = raw.select("*", *(clean_value(F.col(f"r{i}"), types[c], None, F.col(f"k{i}")).alias(f"c{i}") for i, c in enumerate(columns))).persist()
     if dates:
-        raw = _with_year(raw, dates, today)
-    cleaned = raw.select("*", *(clean_value(F.col(f"r{i}"), types[c], F.col("_year") if i in dates else None).alias(f"c{i}") for i, c in enumerate(columns)))
+        cleaned = _with_year(cleaned, dates, today).withColumns({f"c{i}": with_year(F.col(f"r{i}"), F.col(f"c{i}"), F.col("_year")) for i in dates})
+    loose = [i for i, c in enumerate(columns) if types[c] == "auto"]
+    # A column without a type whose cells are all numbers is one of numbers.
+    numbers = cleaned.agg(*(x for i in loose for x in (F.count(f"c{i}.v").alias(f"a{i}"), F.count_if(F.col(f"c{i}.v").isNotNull() & (F.col(f"k{i}") == "n")).alias(f"n{i}")))).first() if loose else {}
+    numeric = {i for i in loose if numbers[f"a{i}"] and numbers[f"a{i}"] == numbers[f"n{i}"]}
     _note_cells(cleaned, columns, dates, spec, issues)
-    wrong = [F.struct(F.get("heads", F.lit(i)).alias("head"), F.lit(c).alias("target"), F.col(f"r{i}").alias("value"), F.col(f"c{i}.err").alias("err"), F.lit("日期无法识别" if types[c] == "date" else "数值无法转换").alias("kind")) for i, c in enumerate(columns)]
+    wrong = [F.struct(F.get("heads", F.lit(i)).alias("head"), F.lit(c).alias("target"), F.col(f"r{i}").alias("value"), F.col(f"c{i}.err").alias("err"), F.lit({"date": "日期无法识别", "code": "编码无法识别"}.get(types[c], "数值无法转换")).alias("kind")) for i, c in enumerate(columns)]
     if wrong:
         bad = cleaned.select(FILE, SHEET, ROW, F.explode(F.filter(F.array(*wrong), lambda x: x["err"].isNotNull())).alias("x"))
         label = F.when(F.col("x.head") == F.col("x.target"), F.col("x.head")).otherwise(F.concat("x.head", F.lit("（→"), "x.target", F.lit("）")))
         issues.add_frame(bad.select(F.lit(ERROR).alias(COLUMNS[0]), F.col(FILE).alias(COLUMNS[1]), F.col(SHEET).alias(COLUMNS[2]), F.col(ROW).alias(COLUMNS[3]), label.alias(COLUMNS[4]), F.col("x.kind").alias(COLUMNS[5]), F.col("x.value").alias(COLUMNS[6]), F.concat("x.err", F.lit("，该单元格在明细中留空")).alias(COLUMNS[7])))
-    detail = cleaned.select(*(F.col(f"c{i}.v").alias(c) for i, c in enumerate(columns)), *LINEAGE, ORD, *(F.col(f"r{i}").alias(f"_raw{i}") for i, c in enumerate(columns) if types[c] == "code"))
+    detail = cleaned.select(*((F.col(f"c{i}.v").try_cast("double") if i in numeric else F.col(f"c{i}.v")).alias(c) for i, c in enumerate(columns)), *LINEAGE, ORD, *(F.col(f"k{i}").alias(f"_kind{i}") for i, c in enumerate(columns) if types[c] == "code"))
     for i, c in enumerate(columns):
         if types[c] == "code":
-            detail = pad_codes(detail.withColumn("_num", F.col(f"_raw{i}").rlike(r"^[1-9]\d*$") & F.lower(FILE).rlike(r"\.xls[xmb]?$")), c, "_num", ORDER)
+            detail = pad_codes(detail.withColumn("_num", F.col(f"_kind{i}") == "n"), c, "_num", ORDER)
             padded = detail.where("padded").groupBy(FILE, SHEET).agg(F.count(F.lit(1)).alias("n"))
             issues.add_frame(padded.select(F.lit(INFO).alias(COLUMNS[0]), F.col(FILE).alias(COLUMNS[1]), F.col(SHEET).alias(COLUMNS[2]), F.lit(None).alias(COLUMNS[3]), F.lit(c).alias(COLUMNS[4]), F.lit("编码已补齐").alias(COLUMNS[5]), F.lit(None).alias(COLUMNS[6]), F.concat(F.lit("补齐前导零 "), "n", F.lit(" 处")).alias(COLUMNS[7])))
-            detail = detail.drop("_num", "padded", f"_raw{i}")
+            detail = detail.drop("_num", "padded", f"_kind{i}")
     stem = F.regexp_replace(F.element_at(F.split(FILE, "/"), -1), r"\.[^.]*$", "")
     for c in (c for c in FILE_NAMED if c in columns):
         detail = rename_by_file(detail.withColumn("_st", stem), c, "_st", spec.name_from_file)
@@ -128,7 +137,7 @@ def _note_cells(cleaned: DataFrame, columns: list[str], dates: list[int], spec:
     """Counts of empty cells of summed or averaged columns, and of dates that got their year from elsewhere, for each sheet and column it has."""
     measured = {c for c, f in spec.aggregations if normalize_agg_func(f) in ("求和", "平均")}
     empty = {str(i): (F.get("at", F.lit(i)) >= 0) & F.col(f"c{i}.v").isNull() & F.col(f"c{i}.err").isNull() for i, c in enumerate(columns) if c in measured}
-    no_year = {str(i): F.col(f"c{i}.v").isNotNull() & is_month_day(F.col(f"r{i}")) for i in dates}
+    no_year = {str(i): F.col(f"c{i}.v").isNotNull() & is_month_day(F.col(f"r{i}")) & (F.col(f"k{i}") == "t") for i in dates}
     year = F.col("_year").cast("string") if dates else F.lit(None)
     for flags, kind, words in ((empty, "空值", (" 个空值（未填写，如未盘点），汇总时不按 0 计算",)), (no_year, "日期补全年份", (" 个日期没写年份（如 9.30、9月30日），已按 ", year, " 年处理"))):
         if flags:
@@ -145,14 +154,14 @@ def _note_settings(spec: TaskSpec, detail: DataFrame, types: dict[str, str], iss
             issues.add(WARNING, column=c, kind="汇总设置", message=f"分组列“{c}”是数值列，按它分组通常没有意义；数值列一般放在“汇总列”里求和")
 
 
-def _with_year(raw: DataFrame, dates: list[int], today: dt.date) -> DataFrame:
+def _with_year(cleaned: DataFrame, dates: list[int], today: dt.date) -> DataFrame:
     """_year for dates without one: the sheet's most frequent year, else everyone's, else today's; first seen wins ties."""
     place = F.struct(*(F.col(o) for o in ORDER))
-    full = reduce(DataFrame.unionByName, [raw.where(~is_month_day(F.col(f"r{i}"))).select(FILE, SHEET, place.alias("p"), F.year(clean_value(F.col(f"r{i}"), "date")["v"]).alias("y")) for i in dates]).where("y IS NOT NULL")
+    full = reduce(DataFrame.unionByName, [cleaned.select(FILE, SHEET, place.alias("p"), F.year(f"c{i}.v").alias("y")) for i in dates]).where("y IS NOT NULL")
     votes = full.groupBy(FILE, SHEET, "y").agg((-F.count(F.lit(1))).alias("c"), F.min("p").alias("p"))
     by_sheet = votes.groupBy(FILE, SHEET).agg(F.min_by("y", F.struct("c", "p")).alias("_own"))
     world = votes.groupBy("y").agg(F.sum("c").alias("c"), F.min("p").alias("p")).agg(F.min_by("y", F.struct("c", "p")).alias("y")).first()
-    return raw.join(by_sheet, [FILE, SHEET], "left").withColumn("_year", F.coalesce("_own", F.lit(world["y"] if world and world["y"] else today.year))).drop("_own")
+    return cleaned.join(by_sheet, [FILE, SHEET], "left").withColumn("_year", F.coalesce("_own", F.lit(world["y"] if world and world["y"] else today.year))).drop("_own")
 
 
 def make_summary(spec: TaskSpec, detail: DataFrame, types: dict, sources: dict, store: AliasStore, issues: Issues) -> tuple[DataFrame, auto.AutoPlan | None, list]:
@@ -172,12 +181,18 @@ def make_summary(spec: TaskSpec, detail: DataFrame, types: dict, sources: dict,
 def run(spark: SparkSession, spec: TaskSpec, store: AliasStore | None = None, now: dt.datetime | None = None, export: bool = True) -> RunResult:
     """Read, map, clean, repair, de-duplicate, summarise; export if asked. Failures to write are issues."""
     store, issues, now = store or AliasStore(), Issues(), now or dt.datetime.now()
+    if not folder_exists(spark, spec.input_folder):
+        issues.add(ERROR, kind="文件读取失败", message=f"输入文件夹不存在：{spec.input_folder}")
+        nothing = spark.createDataFrame([], f"`{FILE}` string, `{SHEET}` string, `{ROW}` int")
+        return RunResult(nothing, summarize(nothing, [], []), issues.frame(spark))
     detail, types, sources = build_detail(spark, spec, store, issues, now.date())
-    marked = deduplicate(detail, spec.dedup_mode, spec.dedup_columns, ORDER, issues)
-    if spec.dedup_mode == "mark":
-        again = marked.where("is_duplicate")
-        issues.add_frame(again.select(F.lit(WARNING).alias(COLUMNS[0]), F.col(FILE).alias(COLUMNS[1]), F.col(SHEET).alias(COLUMNS[2]), F.col(ROW).alias(COLUMNS[3]), F.lit("").alias(COLUMNS[4]), F.lit("重复记录").alias(COLUMNS[5]), F.lit(None).alias(COLUMNS[6]), F.concat(F.lit("与 "), f"first_place.`{FILE}`", F.lit(" 第 "), f"first_place.`{ROW}`", F.lit(" 行重复")).alias(COLUMNS[7])))
-        marked = marked.drop("is_duplicate", "first_place")
+    marked = deduplicate(detail, "off" if spec.dedup_mode == "off" else "mark", spec.dedup_columns, ORDER, issues)
+    if spec.dedup_mode != "off":
+        again, drop = marked.where("is_duplicate"), spec.dedup_mode == "drop"
+        used = [c for c in spec.dedup_columns if c in detail.columns]
+        by, kind, tail = "、".join(used) or "全部列", "重复记录已删除" if drop else "重复记录", " 行重复，已从明细和汇总中删除" if drop else " 行重复（已保留，仍计入汇总）"
+        issues.add_frame(again.select(F.lit(WARNING).alias(COLUMNS[0]), F.col(FILE).alias(COLUMNS[1]), F.col(SHEET).alias(COLUMNS[2]), F.col(ROW).alias(COLUMNS[3]), F.lit("").alias(COLUMNS[4]), F.lit(kind).alias(COLUMNS[5]), F.lit(None).alias(COLUMNS[6]), F.concat(F.lit(f"按{by}与 "), f"first_place.`{FILE}`", F.lit(" 第 "), f"first_place.`{ROW}`", F.lit(tail)).alias(COLUMNS[7])))
+        marked = (marked.where("NOT is_duplicate") if drop else marked).drop("is_duplicate", "first_place")
     _note_settings(spec, marked, types, issues)
     summary, plan, aggs = make_summary(spec, marked, types, sources, store, issues)
     shown = marked.orderBy(*ORDER).drop(ORD)

@@ -148,6 +148,31 @@ def clean_date_roundtrip(spark, sf):
     return d.select("o_orderkey", F.date_format("d.v", "yyyy-MM-dd").alias("day"), F.date_format("d.v", "HH:mm").alias("hour"))
 
 
+def clean_number_cells(spark, sf):
+    """Amounts as cells of each kind: text, number, date, boolean."""
+    cells = _t(spark, sf, "orders").selectExpr("o_orderkey", "CASE o_orderkey % 4 WHEN 0 THEN concat(cast(o_orderkey as string), '元') WHEN 1 THEN cast(o_orderkey as string) WHEN 2 THEN '2026-01-02' ELSE 'True' END AS c", "substr('tndb', cast(o_orderkey % 4 as int) + 1, 1) AS k")
+    return cells.withColumn("n", clean.to_number(F.col("c"), F.col("k"))).select("o_orderkey", F.col("n.v").alias("v"), F.col("n.err").alias("err"))
+
+
+def clean_date_cells(spark, sf):
+    """Dates as cells of each kind; number cells are day numbers or eight digits, never month and day."""
+    text = "CASE o_orderkey % 5 WHEN 0 THEN '9.30' WHEN 1 THEN '12.5' WHEN 2 THEN date_format(o_orderdate, 'yyyyMMdd') WHEN 3 THEN cast(datediff(o_orderdate, DATE'1899-12-30') as string) ELSE '06:00:00' END AS c"
+    cells = _t(spark, sf, "orders").selectExpr("o_orderkey", text, "substr('tnnnm', cast(o_orderkey % 5 as int) + 1, 1) AS k")
+    return cells.withColumn("d", clean.to_date(F.col("c"), F.lit(2024), F.col("k"))).select("o_orderkey", F.date_format("d.v", "yyyy-MM-dd").alias("day"), F.col("d.err").alias("err"))
+
+
+def typed_columns(spark, sf):
+    """Types of columns by dictionary, override and summed column, whatever name the function goes by."""
+    types = schema.column_types(["金额", "x", "y", "z", "日期"], schema.AliasStore(), {"z": "code"}, [("x", "mean"), ("y", "计数")])
+    return spark.createDataFrame(sorted(types.items()), "name string, type string")
+
+
+def drop_repeats_log(spark, sf):
+    """What is dropped as a repeat, with the place of the row that stays."""
+    d = deduplicate(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), "mark", ["l_orderkey", "l_returnflag", "l_linestatus"], ["l_linenumber"])
+    return d.where("is_duplicate").groupBy("l_orderkey", F.col("first_place.l_linenumber").alias("first_line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def clean_code(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", clean.to_code(F.concat(F.lit("  ="), F.lit('"'), F.lower("p_brand"), F.lit(" x"), F.lit('"')))["v"].alias("code"))
 
@@ -166,7 +191,7 @@ def union_mapped_headers(spark, sf):
     parts = [
         lines.where("l_linenumber = 1").selectExpr("l_orderkey AS `单号`", "l_quantity AS `数量`", "l_extendedprice AS `金额`"),
         lines.where("l_linenumber = 2").selectExpr("l_extendedprice AS `Amount`", "l_quantity AS `QTY`", "l_orderkey AS `订单号`"),
-        lines.where("l_linenumber = 3").selectExpr("l_orderkey AS `单据编号`", "l_extendedprice AS `金额（元）`"),
+        lines.where("l_linenumber >= 3").selectExpr("l_orderkey AS `单据编号`", "l_extendedprice AS `金额（元）`"),
     ]
     return union_mapped(parts, schema.AliasStore()).select(F.col("单号").alias("order_id"), F.col("数量").alias("qty"), F.col("金额").alias("amount"))
 
@@ -247,7 +272,7 @@ def consolidate_flagship(spark, sf):
 
 
 def queries() -> dict:
-    names = [summarize_sum_total, summarize_multi_group, summarize_all_funcs, summarize_date_max, summarize_null_group, summarize_no_group, summarize_count_only, summarize_empty_measure, summarize_bad_requests, pivot_single, pivot_multi, pivot_count, pivot_no_group, pivot_avg_margins, dedup_mark_keys, dedup_drop_keys, dedup_drop_all, split_subtotals, auto_summary_key_entity, auto_name_vote, auto_plan, clean_number_roundtrip, clean_date_roundtrip, clean_code, clean_text, pad_codes_width, union_mapped_headers, year_vote, natural_sort_rank, issues_counts, note_empty_cells, extract_tables, split_partitions, rename_files, distinct_values, consolidate_flagship]
+    names = [summarize_sum_total, summarize_multi_group, summarize_all_funcs, summarize_date_max, summarize_null_group, summarize_no_group, summarize_count_only, summarize_empty_measure, summarize_bad_requests, pivot_single, pivot_multi, pivot_count, pivot_no_group, pivot_avg_margins, dedup_mark_keys, dedup_drop_keys, dedup_drop_all, split_subtotals, auto_summary_key_entity, auto_name_vote, auto_plan, clean_number_roundtrip, clean_date_roundtrip, clean_number_cells, clean_date_cells, typed_columns, drop_repeats_log, clean_code, clean_text, pad_codes_width, union_mapped_headers, year_vote, natural_sort_rank, issues_counts, note_empty_cells, extract_tables, split_partitions, rename_files, distinct_values, consolidate_flagship]
     return {f.__name__: f for f in names}
 
 
@@ -281,10 +306,14 @@ def oracle_sql() -> dict[str, str]:
         "auto_plan": "SELECT CASE WHEN grouping(l_partkey) = 1 THEN '总计' ELSE CAST(l_partkey AS VARCHAR) END AS l_partkey, round(sum(l_quantity), 2) AS l_quantity FROM lineitem GROUP BY GROUPING SETS ((l_partkey), ())",
         "clean_number_roundtrip": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 5 = 4 THEN NULL WHEN l_linenumber % 5 = 2 THEN -round(l_extendedprice, 2) ELSE round(l_extendedprice, 2) END AS v, CAST(l_linenumber % 5 = 4 AS INTEGER) AS bad FROM lineitem",
         "clean_date_roundtrip": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 6 = 5 THEN '08:30' ELSE '00:00' END AS hour FROM orders",
+        "clean_number_cells": f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN CAST(o_orderkey AS DOUBLE) END AS v, CASE o_orderkey % 4 WHEN 2 THEN '{clean.ERR_NUMBER_DATE}' WHEN 3 THEN '{clean.ERR_NUMBER_BOOL}' END AS err FROM orders",
+        "clean_date_cells": f"SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '2024-09-30' WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE o_orderkey % 5 WHEN 1 THEN '{clean.ERR_SMALL_CELL}' WHEN 4 THEN '{clean.ERR_DATE_TIME}' END AS err FROM orders",
+        "typed_columns": "SELECT * FROM (VALUES ('金额', 'number'), ('x', 'number'), ('y', 'auto'), ('z', 'code'), ('日期', 'date')) v(name, type)",
+        "drop_repeats_log": "WITH f AS (SELECT l_orderkey, l_linenumber, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus) AS first_line FROM lineitem) SELECT l_orderkey, first_line, count(*) AS n FROM f WHERE l_linenumber > first_line GROUP BY ALL",
         "clean_code": "SELECT p_partkey, upper(replace(p_brand, ' ', '')) || 'X' AS code FROM part",
         "clean_text": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name FROM customer",
         "pad_codes_width": "SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS code FROM part",
-        "union_mapped_headers": "SELECT CAST(l_orderkey AS BIGINT) AS order_id, CASE WHEN l_linenumber < 3 THEN l_quantity END AS qty, l_extendedprice AS amount FROM lineitem WHERE l_linenumber IN (1, 2, 3)",
+        "union_mapped_headers": "SELECT CAST(l_orderkey AS BIGINT) AS order_id, CASE WHEN l_linenumber < 3 THEN l_quantity END AS qty, l_extendedprice AS amount FROM lineitem",
         "year_vote": "WITH v AS (SELECT o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, min(o_orderkey) AS p FROM orders GROUP BY ALL) SELECT o_orderstatus, y AS year FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, p) AS r FROM v) WHERE r = 1",
         "natural_sort_rank": "SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS rank FROM supplier",
         "issues_counts": "SELECT '错误' AS severity, count(*) AS n FROM events WHERE event_id % 10 = 0 UNION ALL SELECT '警告', 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from gridloom.sources.grid import DATE_FORMATS, ERROR_CODES, ERROR_TEXT, date_text, fill_merged, is_date_format, number_text, put
+from gridloom.sources.grid import DATE_FORMATS, ERROR_CODES, ERROR_TEXT, bool_text, date_text, fill_merged, is_date_format, number_text, put
 
 MAGIC = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 _LAST = 0xFFFFFFFA  # sector numbers from here on are marks
@@ -157,13 +157,13 @@ def _sheet(stream: bytes, at: int, strings: list[str], dates: set[int], base_190
             elif kind == 0x0204:
                 value = _text(body, 8, struct.unpack_from("<H", body, 6)[0]) or None
             elif kind == 0x0205:
-                value = ERROR_CODES.get(body[6], ERROR_TEXT) if body[7] else str(bool(body[6]))
+                value = ERROR_CODES.get(body[6], ERROR_TEXT) if body[7] else bool_text(bool(body[6]))
             elif body[12:14] != b"\xff\xff":
                 value = number(struct.unpack_from("<d", body, 6)[0], xf)
             elif body[6] == 0:
                 pending = (row, col)
             elif body[6] < 3:
-                value = str(bool(body[8])) if body[6] == 1 else ERROR_CODES.get(body[8], ERROR_TEXT)
+                value = bool_text(bool(body[8])) if body[6] == 1 else ERROR_CODES.get(body[8], ERROR_TEXT)
             put(grid, row, col, value)
     fill_merged(grid, ranges)
     return grid

@@ -18,17 +18,38 @@ def is_date_format(code: str) -> bool:
     return bool(re.search("[ymdhs年月日]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code or ""), re.I))
 
 
-def number_text(x: float) -> str:
-    return str(int(x)) if x.is_integer() and abs(x) < 1e15 else repr(x)
+class Cell(str):
+    """A cell's text and its kind: t text, n number, d date, m time of day, b boolean; plain strings are text."""
 
+    kind = "t"
 
-def date_text(serial: float, base_1904: bool = False) -> str:
+    @classmethod
+    def of(cls, text: str, kind: str) -> "Cell":
+        cell = cls(text)
+        cell.kind = kind
+        return cell
+
+
+def cell_kinds(cells: list) -> str:
+    """One letter a cell."""
+    return "".join(getattr(v, "kind", "t") for v in cells)
+
+
+def bool_text(x: bool) -> Cell:
+    return Cell.of("True" if x else "False", "b")
+
+
+def number_text(x: float) -> Cell:
+    return Cell.of(str(int(x)) if x.is_integer() and abs(x) < 1e15 else repr(x), "n")
+
+
+def date_text(serial: float, base_1904: bool = False) -> Cell:
     """A date cell as ISO text; under one day, the time alone."""
     if 0 <= serial < 1:
         seconds = round(serial * 86400)
-        return f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
+        return Cell.of(f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}", "m")
     t = pd.Timestamp("1904-01-01" if base_1904 else "1899-12-30") + pd.to_timedelta(round(serial * 86400), unit="s")
-    return t.strftime("%Y-%m-%d") if t == t.normalize() else t.strftime("%Y-%m-%d %H:%M:%S")
+    return Cell.of(t.strftime("%Y-%m-%d") if t == t.normalize() else t.strftime("%Y-%m-%d %H:%M:%S"), "d")
 
 
 def put(grid: list[list], row: int, column: int, value: str | None) -> None:

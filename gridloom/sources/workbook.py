@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.extract import build_table
 from gridloom.sources.biff import MAGIC, xls_grids
-from gridloom.sources.grid import DATE_FORMATS, ERROR_TEXT, date_text, fill_merged, is_date_format, number_text
+from gridloom.sources.grid import DATE_FORMATS, ERROR_TEXT, bool_text, date_text, fill_merged, is_date_format, number_text
 from gridloom.sources.xlsb import xlsb_grids
 
 EXTENSIONS = (".xlsx", ".xlsm", ".xls", ".xlsb", ".csv")
 OWN_PREFIX = "汇总结果_"
 CSV_SHEET = "CSV"
+#: kind: header, row or issue; note: of a row its cells' kinds, of an issue its severity, type and message.
 BRONZE = "file string, sheet string, sheet_ord int, kind string, row_no int, cells array<string>, note string"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -129,7 +130,7 @@ def _cell(c, strings: list[str], dates: set[int]) -> str | None:
     if kind == "s":
         return strings[int(v.text)] or None
     if kind == "b":
-        return "True" if v.text == "1" else "False"
+        return bool_text(v.text == "1")
     if kind == "n" and int(c.get("s", 0)) in dates:
         return date_text(float(v.text))
     if kind == "n":
@@ -188,8 +189,26 @@ def read_folder(spark: SparkSession, folder: str, recursive: bool = False, exclu
     return bronze.unionByName(spark.createDataFrame(empty, BRONZE)) if empty else bronze
 
 
+def count_files(spark: SparkSession, folder: str, recursive: bool = False) -> int:
+    """Tables that a run would read, broken and empty ones too; from the listing alone."""
+    return len(_listed(spark, folder.rstrip("/"), recursive))
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    if not folder:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(path) and fs.getFileStatus(path).isDirectory()
+
+
 def _empty_files(spark: SparkSession, root: str, recursive: bool) -> list[str]:
-    """Names of 0-byte tables, which Spark's readers leave out; from the listing alone."""
+    """Names of 0-byte tables, which Spark's readers leave out."""
+    return [name for name, size in _listed(spark, root, recursive) if not size]
+
+
+def _listed(spark: SparkSession, root: str, recursive: bool) -> list[tuple[str, int]]:
+    """Names and sizes of the tables under ``root``."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     base, out = fs.makeQualified(path).toUri().getPath().rstrip("/") + "/", []
@@ -198,6 +217,6 @@ def _empty_files(spark: SparkSession, root: str, recursive: bool) -> list[str]:
         f = found.next()
         name = f.getPath().toUri().getPath().removeprefix(base)
         last = name.rpartition("/")[2]
-        if not f.getLen() and last.lower().endswith(EXTENSIONS) and not last.startswith(("~$", ".", OWN_PREFIX)) and not re.search(r"(^|/)\.[^/]*/", name):
-            out.append(name)
+        if last.lower().endswith(EXTENSIONS) and not last.startswith(("~$", ".", OWN_PREFIX)) and not re.search(r"(^|/)\.[^/]*/", name):
+            out.append((name, f.getLen()))
     return sorted(out)

@@ -8,7 +8,7 @@ import zipfile
 from xml.etree import ElementTree
 
 from gridloom.sources.biff import rk_number
-from gridloom.sources.grid import DATE_FORMATS, ERROR_CODES, ERROR_TEXT, date_text, fill_merged, is_date_format, number_text, put
+from gridloom.sources.grid import DATE_FORMATS, ERROR_CODES, ERROR_TEXT, bool_text, date_text, fill_merged, is_date_format, number_text, put
 
 
 def records(data: bytes):
@@ -89,7 +89,7 @@ def _sheet(data: bytes, strings: list[str], dates: set[int], base_1904: bool) ->
             elif kind in (3, 11):
                 value = ERROR_CODES.get(body[8], ERROR_TEXT)
             elif kind in (4, 10):
-                value = str(bool(body[8]))
+                value = bool_text(bool(body[8]))
             elif kind in (6, 8):
                 value = _wide(body, 8)[0] or None
             elif kind == 7:

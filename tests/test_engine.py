@@ -21,11 +21,12 @@ from gridloom.operators.notes import count_cells, empty_columns, missing_columns
 from gridloom.operators.pivot import pivot_summarize
 from gridloom.plans import queries
 from gridloom.plans.config import TaskSpec
-from gridloom.plans.pipeline import run
+from gridloom.plans.issues import Issues
+from gridloom.plans.pipeline import plan_tables, remap, run
 from gridloom.sinks.xlsx import safe_filename, safe_sheet_title, write_xlsx
 from gridloom.sources import biff, xlsb
 from gridloom.sources.grid import date_text, is_date_format
-from gridloom.sources.workbook import decode_csv, grids, read_folder
+from gridloom.sources.workbook import count_files, decode_csv, grids, read_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -174,6 +175,49 @@ def test_split_files_and_drop(spark, folder, tmp_path):
     assert r.auto_plan.key == "商品编码"
 
 
+def test_cells_keep_their_kinds(spark, tmp_path):
+    f = tmp_path / "in"
+    f.mkdir()
+    header = ["日期", "门店", "商品编码", "数量", "层"]
+    rows = [[dt.date(2026, 1, 2), "A", "007", 5, 1], [12.5, "A", "12", dt.date(2026, 1, 3), 2], ["3月5日", "B", 12, True, 3], [20260304, "B", "008", "7箱", 4]]
+    write_xlsx(str(f / "a.xlsx"), [("S", header, rows)])
+    r = run(spark, TaskSpec(input_folder=str(f)), now=dt.datetime(2026, 2, 1), export=False)
+    got = [(x["日期"] and x["日期"].date().isoformat(), x["商品编码"], x["数量"], x["层"]) for x in r.detail.collect()]
+    assert got == [("2026-01-02", "007", 5.0, 1.0), (None, "12", None, 2.0), ("2026-03-05", "012", None, 3.0), ("2026-03-04", "008", 7.0, 4.0)]
+    said = {(x["行号"], x["说明"].split("，该")[0]) for x in r.issues.collect() if x["严重程度"] == "错误"}
+    assert said == {(3, clean.ERR_SMALL_CELL), (3, clean.ERR_NUMBER_DATE), (4, clean.ERR_NUMBER_BOOL)}
+    assert [x[0] for x in values(spark, lambda c: clean.to_code(c, F.lit("d")), ["2026-01-02"])] == [None]
+
+
+def test_missing_folder_and_counts(spark, folder, tmp_path):
+    r = run(spark, TaskSpec(input_folder=str(tmp_path / "gone")))
+    assert [(x["严重程度"], x["问题类型"]) for x in r.issues.collect()] == [("错误", "文件读取失败")] and r.detail.count() == 0 and r.summary.count() == 1 and r.output_path is None
+    assert count_files(spark, str(folder)) == 4
+    tables = plan_tables(spark, TaskSpec(input_folder=str(folder)), schema.AliasStore(), Issues())
+    again = remap(tables, schema.AliasStore(), {"金额": "总额", "销售额": "总额"})
+    assert {s.target for _, _, _, found in again.plans for s in found if s.status == "手动"} == {"总额"}
+
+
+def test_dropped_rows_are_logged(spark, folder):
+    r = run(spark, TaskSpec(input_folder=str(folder), dedup_mode="drop"), export=False)
+    said = [(x["文件"], x["行号"], x["说明"]) for x in r.issues.collect() if x["问题类型"] == "重复记录已删除"]
+    assert said == [("b.csv", 2, "按全部列与 a.xlsx 第 2 行重复，已从明细和汇总中删除")]
+
+
+def test_roles_and_types():
+    store = schema.AliasStore()
+    store.learn_role("商品编码", "none")
+    assert "商品编码" not in store.roles()
+    assert schema.column_types(["x"], store, {}, [("x", "sum")]) == {"x": "number"}
+    assert [schema.similarity(a, b) for a, b in (("", "x"), ("ab", "ab"), ("单价(元)", "单价"), ("单价/元", "单价"))] == [0.0, 100.0, 95.0, 85.0]
+
+
+def test_columns_of_skipped_rows_are_empty():
+    grid = [["日期", "门店", "数量", None, "金额"], ["2026-1-1", "A", "1", None, "2"], ["合计", None, None, "9", "2"]]
+    out = list(build_table(grid))
+    assert next(c for k, _, c, _ in out if k == "header") == ["日期", "门店", "数量", "金额"]
+
+
 def test_cli(spark, folder, tmp_path):
     out = str(tmp_path / "z.xlsx")
     assert main(["-i", str(folder), "-g", "门店", "-a", "金额：求和", "-o", out, "--save-config", str(tmp_path / "t.json")]) == 0
