@@ -19,12 +19,14 @@ from gridloom.operators.repair import FILE_NAMED, pad_codes, rename_by_file
 from gridloom.operators.schema import AliasStore, column_order, column_types, resolve, suggest_for_columns
 from gridloom.plans.config import TaskSpec
 from gridloom.plans.issues import COLUMNS, ERROR, INFO, WARNING, Issues
-from gridloom.sinks.xlsx import safe_filename, sheet, write_xlsx
+from gridloom.sinks.xlsx import rendered, safe_filename, sheet, write_xlsx
 from gridloom.sources.workbook import folder_exists, read_folder
 
 FILE, SHEET, ROW = LINEAGE
 ORD = "_sheet_ord"
 ORDER = [FILE, ORD, ROW]
+#: Tables of one row a sheet are broadcast up to so many sheets.
+BROADCAST_SHEETS = 20_000
 
 
 @dataclass
@@ -35,6 +37,12 @@ class RunResult:
     output_path: str | None = None
     auto_plan: auto.AutoPlan | None = None
     outputs: list[str] = field(default_factory=list)
+    stored: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Free what the run has stored; its frames stay valid and are computed anew."""
+        for df in self.stored:
+            df.unpersist()
 
 
 @dataclass
@@ -83,8 +91,8 @@ def _admit(tables: Tables, spec: TaskSpec, store: AliasStore, issues: Issues) ->
     return out
 
 
-def build_detail(spark: SparkSession, spec: TaskSpec, store: AliasStore, issues: Issues, today: dt.date) -> tuple[DataFrame, dict[str, str], dict[str, list[str]]]:
-    """The cleaned, typed detail with lineage; types and source headers by column."""
+def build_detail(spark: SparkSession, spec: TaskSpec, store: AliasStore, issues: Issues, today: dt.date, stored: list[DataFrame]) -> tuple[DataFrame, dict[str, str], dict[str, list[str]]]:
+    """The cleaned, typed detail with lineage; types and source headers by column. ``stored`` gets the persisted frames."""
     tables = plan_tables(spark, spec, store, issues)
     admitted = _admit(tables, spec, store, issues)
     columns = column_order([t for p in admitted for t in p[3] if t], store)
@@ -93,14 +101,15 @@ def build_detail(spark: SparkSession, spec: TaskSpec, store: AliasStore, issues:
     _note_missing(tables, admitted, [c for c in columns if c in store.columns], issues)
     places = [(f, s, tables.header_rows[f, s], [next((i for i, t in enumerate(ts) if t == c), -1) for c in columns], [next((h for h, t in zip(hs, ts) if t == c), c) for c in columns]) for f, s, hs, ts in admitted]
     plan = spark.createDataFrame(places, "file string, sheet string, header_row int, at array<int>, heads array<string>")
-    # The plan has one row a sheet; Spark broadcasts it if its size allows.
-    raw = tables.bronze.where("kind = 'row'").join(plan, ["file", "sheet"])
+    few = len(places) <= BROADCAST_SHEETS
+    raw = tables.bronze.where("kind = 'row'").join(F.broadcast(plan) if few else plan, ["file", "sheet"])
     cell = {c: F.get("cells", F.get("at", F.lit(i))) for i, c in enumerate(columns)}
     raw = raw.select(F.col("file").alias(FILE), F.col("sheet").alias(SHEET), F.col("row_no").alias(ROW), F.col("sheet_ord").alias(ORD), "header_row", "at", "heads", *(cell[c].alias(f"r{i}") for i, c in enumerate(columns)), *(F.coalesce(F.nullif(F.substring("note", F.get("at", F.lit(i)) + 1, F.lit(1)), F.lit("")), F.lit("t")).alias(f"k{i}") for i in range(len(columns))))
     dates = [i for i, c in enumerate(columns) if types[c] == "date"]
     cleaned = raw.select("*", *(clean_value(F.col(f"r{i}"), types[c], None, F.col(f"k{i}")).alias(f"c{i}") for i, c in enumerate(columns))).persist()
+    stored += [tables.bronze, cleaned]
     if dates:
-        cleaned = _with_year(cleaned, dates, today).withColumns({f"c{i}": with_year(F.col(f"r{i}"), F.col(f"c{i}"), F.col("_year")) for i in dates})
+        cleaned = _with_year(cleaned, dates, today, few).withColumns({f"c{i}": with_year(F.col(f"r{i}"), F.col(f"c{i}"), F.col("_year")) for i in dates})
     loose = [i for i, c in enumerate(columns) if types[c] == "auto"]
     # A column without a type whose cells are all numbers is one of numbers.
     numbers = cleaned.agg(*(x for i in loose for x in (F.count(f"c{i}.v").alias(f"a{i}"), F.count_if(F.col(f"c{i}.v").isNotNull() & (F.col(f"k{i}") == "n")).alias(f"n{i}")))).first() if loose else {}
@@ -154,14 +163,14 @@ def _note_settings(spec: TaskSpec, detail: DataFrame, types: dict[str, str], iss
             issues.add(WARNING, column=c, kind="汇总设置", message=f"分组列“{c}”是数值列，按它分组通常没有意义；数值列一般放在“汇总列”里求和")
 
 
-def _with_year(cleaned: DataFrame, dates: list[int], today: dt.date) -> DataFrame:
+def _with_year(cleaned: DataFrame, dates: list[int], today: dt.date, few: bool) -> DataFrame:
     """_year for dates without one: the sheet's most frequent year, else everyone's, else today's; first seen wins ties."""
     place = F.struct(*(F.col(o) for o in ORDER))
     full = reduce(DataFrame.unionByName, [cleaned.select(FILE, SHEET, place.alias("p"), F.year(f"c{i}.v").alias("y")) for i in dates]).where("y IS NOT NULL")
     votes = full.groupBy(FILE, SHEET, "y").agg((-F.count(F.lit(1))).alias("c"), F.min("p").alias("p"))
     by_sheet = votes.groupBy(FILE, SHEET).agg(F.min_by("y", F.struct("c", "p")).alias("_own"))
     world = votes.groupBy("y").agg(F.sum("c").alias("c"), F.min("p").alias("p")).agg(F.min_by("y", F.struct("c", "p")).alias("y")).first()
-    return cleaned.join(by_sheet, [FILE, SHEET], "left").withColumn("_year", F.coalesce("_own", F.lit(world["y"] if world and world["y"] else today.year))).drop("_own")
+    return cleaned.join(F.broadcast(by_sheet) if few else by_sheet, [FILE, SHEET], "left").withColumn("_year", F.coalesce("_own", F.lit(world["y"] if world and world["y"] else today.year))).drop("_own")
 
 
 def make_summary(spec: TaskSpec, detail: DataFrame, types: dict, sources: dict, store: AliasStore, issues: Issues) -> tuple[DataFrame, auto.AutoPlan | None, list]:
@@ -185,8 +194,10 @@ def run(spark: SparkSession, spec: TaskSpec, store: AliasStore | None = None, no
         issues.add(ERROR, kind="文件读取失败", message=f"输入文件夹不存在：{spec.input_folder}")
         nothing = spark.createDataFrame([], f"`{FILE}` string, `{SHEET}` string, `{ROW}` int")
         return RunResult(nothing, summarize(nothing, [], []), issues.frame(spark))
-    detail, types, sources = build_detail(spark, spec, store, issues, now.date())
-    marked = deduplicate(detail, "off" if spec.dedup_mode == "off" else "mark", spec.dedup_columns, ORDER, issues)
+    stored: list[DataFrame] = []
+    detail, types, sources = build_detail(spark, spec, store, issues, now.date(), stored)
+    marked = deduplicate(detail, "off" if spec.dedup_mode == "off" else "mark", spec.dedup_columns, ORDER, issues).persist()
+    stored.append(marked)
     if spec.dedup_mode != "off":
         again, drop = marked.where("is_duplicate"), spec.dedup_mode == "drop"
         used = [c for c in spec.dedup_columns if c in detail.columns]
@@ -196,7 +207,7 @@ def run(spark: SparkSession, spec: TaskSpec, store: AliasStore | None = None, no
     _note_settings(spec, marked, types, issues)
     summary, plan, aggs = make_summary(spec, marked, types, sources, store, issues)
     shown = marked.orderBy(*ORDER).drop(ORD)
-    result = RunResult(shown, summary, None, None, plan)
+    result = RunResult(shown, summary, None, None, plan, stored=stored)
     if export:
         path = spec.output_path(f"汇总结果_{now:%Y%m%d_%H%M%S}.xlsx")
         values = split_values(marked, spec.split_by, issues) if spec.split_by else None
@@ -219,7 +230,7 @@ def run(spark: SparkSession, spec: TaskSpec, store: AliasStore | None = None, no
 
 
 def _with_subtotal(rows: DataFrame, part: DataFrame, by: str, aggs: list):
-    yield from rows.toLocalIterator()
+    yield from rendered(rows)
     total = subtotals(part, by, aggs).first()
     if total is not None:
         sums = total.asDict()
