@@ -11,6 +11,11 @@ ERROR, WARNING, INFO = "错误", "警告", "提示"
 SCHEMA = ", ".join(f"`{c}` {'int' if c == '行号' else 'string'}" for c in COLUMNS)
 
 
+def in_order(log: DataFrame) -> DataFrame:
+    rank = F.expr(f"array_position(array('{ERROR}', '{WARNING}', '{INFO}'), `严重程度`)")
+    return log.orderBy(rank, "文件", "Sheet", F.coalesce("行号", F.lit(-1)), "列名")
+
+
 class Issues:
     def __init__(self):
         self.rows: list[tuple] = []
@@ -27,8 +32,7 @@ class Issues:
         out = spark.createDataFrame(self.rows, SCHEMA)
         for f in self.frames:
             out = out.unionByName(f)
-        rank = F.expr(f"array_position(array('{ERROR}', '{WARNING}', '{INFO}'), `严重程度`)")
-        return out.orderBy(rank, "文件", "Sheet", F.coalesce("行号", F.lit(-1)), "列名") if ordered else out
+        return in_order(out) if ordered else out
 
     def counts(self, spark: SparkSession) -> DataFrame:
         return self.frame(spark, False).groupBy("严重程度").agg(F.count(F.lit(1)).alias("n"))

@@ -18,7 +18,7 @@ from gridloom.operators.pivot import pivot_summarize, split_values
 from gridloom.operators.repair import FILE_NAMED, pad_codes, rename_by_file
 from gridloom.operators.schema import AliasStore, column_order, column_types, resolve, suggest_for_columns
 from gridloom.plans.config import TaskSpec
-from gridloom.plans.issues import COLUMNS, ERROR, INFO, WARNING, Issues
+from gridloom.plans.issues import COLUMNS, ERROR, INFO, WARNING, Issues, in_order
 from gridloom.sinks.xlsx import rendered, safe_filename, sheet, write_xlsx
 from gridloom.sources.workbook import folder_exists, read_folder
 
@@ -129,7 +129,8 @@ def build_detail(spark: SparkSession, spec: TaskSpec, store: AliasStore, issues:
             detail = detail.drop("_num", "padded", f"_kind{i}")
     stem = F.regexp_replace(F.element_at(F.split(FILE, "/"), -1), r"\.[^.]*$", "")
     for c in (c for c in FILE_NAMED if c in columns):
-        detail = rename_by_file(detail.withColumn("_st", stem), c, "_st", spec.name_from_file)
+        detail = rename_by_file(detail.withColumn("_st", stem), c, "_st", spec.name_from_file).persist()  # the log reads its flags too
+        stored.append(detail)
         hit = detail.where("renamed").groupBy(FILE, SHEET).agg(F.count(F.lit(1)).alias("n"))
         issues.add_frame(hit.select(F.lit(WARNING).alias(COLUMNS[0]), F.col(FILE).alias(COLUMNS[1]), F.col(SHEET).alias(COLUMNS[2]), F.lit(None).alias(COLUMNS[3]), F.lit(c).alias(COLUMNS[4]), F.lit("文件名与内容不一致").alias(COLUMNS[5]), F.lit(None).alias(COLUMNS[6]), F.lit("内容与另一文件同名").alias(COLUMNS[7])))
         detail = detail.drop("_st", "renamed")
@@ -219,9 +220,10 @@ def run(spark: SparkSession, spec: TaskSpec, store: AliasStore | None = None, no
                 extra.append((label, rows.columns, _with_subtotal(rows, part, spec.split_by, aggs)))
             else:
                 result.outputs.append(_split_file(path, spec, part, label, aggs, issues, {o.lower() for o in result.outputs}))
-        log = issues.frame(spark)
+        log = issues.frame(spark, ordered=False).persist()  # the sort reads it twice
+        stored.append(log)
         try:
-            write_xlsx(path, [sheet("汇总", summary), *extra, sheet("明细", shown), sheet("问题清单", log)])
+            write_xlsx(path, [sheet("汇总", summary), *extra, sheet("明细", shown), sheet("问题清单", in_order(log))])
             result.output_path = path
         except OSError as e:
             issues.add(ERROR, path, kind="文件读取失败", message=f"无法写入：{e}")

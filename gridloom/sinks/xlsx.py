@@ -149,8 +149,13 @@ def rendered(df: DataFrame) -> Iterator[str]:
 
     # Session time first: Arrow would hand out UTC.
     cells = df.toDF(*refs).select(*(F.col(c).cast("timestamp_ntz") if kind == "timestamp" else F.col(c) for c, (_, kind) in zip(refs, df.dtypes)))
-    for chunk in cells.mapInArrow(run, "rows string").toLocalIterator(prefetchPartitions=True):
-        yield from chunk[0].split(END)
+    chunks = cells.mapInArrow(run, "rows string").persist()
+    try:
+        chunks.count()  # renders all partitions at once; the iterator asks for one after the other
+        for chunk in chunks.toLocalIterator(prefetchPartitions=True):
+            yield from chunk[0].split(END)
+    finally:
+        chunks.unpersist()
 
 
 def sheet(title: str, df: DataFrame) -> tuple[str, list[str], Iterable]:

@@ -5,6 +5,7 @@ import io
 import math
 import struct
 import zipfile
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -23,7 +24,7 @@ from gridloom.plans import queries
 from gridloom.plans.config import TaskSpec
 from gridloom.plans.issues import Issues
 from gridloom.plans.pipeline import plan_tables, remap, run
-from gridloom.sinks.xlsx import safe_filename, safe_sheet_title, write_xlsx
+from gridloom.sinks.xlsx import rendered, safe_filename, safe_sheet_title, sheet, write_xlsx
 from gridloom.sources import biff, xlsb
 from gridloom.sources.grid import date_text, is_date_format
 from gridloom.sources.workbook import count_files, decode_csv, grids, read_folder
@@ -189,6 +190,25 @@ def test_cells_keep_their_kinds(spark, tmp_path):
     assert [x[0] for x in values(spark, lambda c: clean.to_code(c, F.lit("d")), ["2026-01-02"])] == [None]
 
 
+def test_rendered_rows_are_what_values_give(spark, tmp_path):
+    kinds = "a string, b long, c double, d timestamp_ntz, e boolean, f decimal(9,2), g date"
+    rows = [("x<\x01&\x02", 1, 2.5, dt.datetime(2026, 1, 2, 3, 4, 5), True, Decimal("1.50"), dt.date(2026, 1, 2)), (None,) * 7, (" 字 ", -7, float("nan"), dt.datetime(1899, 1, 1), False, None, None)]
+    df = spark.createDataFrame(rows, kinds)
+    for name, given in (("a", rows), ("b", sheet("S", df)[2]), ("c", sheet("S", df.limit(0))[2])):
+        write_xlsx(str(tmp_path / f"{name}.xlsx"), [("S", df.columns, given)])
+    read = {n: dict(grids("x.xlsx", (tmp_path / f"{n}.xlsx").read_bytes()))["S"] for n in "abc"}
+    assert read["a"] == read["b"] and len(read["b"]) == 4 and len(read["c"]) == 1
+    many = spark.range(1500).selectExpr("id AS x", "CAST(id AS string) AS y").orderBy(F.desc("x"))
+    assert [r.split("<v>")[1].split("<")[0] for r in rendered(many)] == [str(1499 - i) for i in range(1500)]
+
+
+def test_release_frees_what_a_run_stored(spark, folder, tmp_path):
+    r = run(spark, TaskSpec(input_folder=str(folder), output_dir=str(tmp_path / "o")))
+    assert r.stored and all(df.is_cached for df in r.stored)
+    r.release()
+    assert not any(df.is_cached for df in r.stored) and r.detail.count() == 4
+
+
 def test_missing_folder_and_counts(spark, folder, tmp_path):
     r = run(spark, TaskSpec(input_folder=str(tmp_path / "gone")))
     assert [(x["严重程度"], x["问题类型"]) for x in r.issues.collect()] == [("错误", "文件读取失败")] and r.detail.count() == 0 and r.summary.count() == 1 and r.output_path is None
