@@ -56,11 +56,17 @@ FEW_EDGES = 1 << 14
 
 def components(spark: SparkSession, edges: DataFrame) -> Table:
     """(a, b): every vertex with edges but the least of its component, and that least one. Alternating stars until every vertex has one edge, to a vertex without one: logarithmically many rounds, each a written table. What is left of few edges takes one task."""
-    now = Table(spark, edges.select("a", "b").mapInArrow(_forest, "a long, b long"), "edges")
-    if now.df.count() <= FEW_EDGES:
-        done = Table(spark, now.df.coalesce(1).mapInArrow(_forest, "a long, b long"), "edges")
+
+    def forests(now: Table, df: DataFrame) -> Table:
+        out = Table(spark, df.mapInArrow(_forest, "a long, b long"), "edges")
         now.drop()
-        return done
+        return out
+
+    now = Table(spark, edges.select("a", "b"), "edges")  # stored first: Python that makes the edges would hold a second worker in each of the forests' tasks
+    if now.df.count() > FEW_EDGES:
+        now = forests(now, now.df)
+    if now.df.count() <= FEW_EDGES:
+        return forests(now, now.df.coalesce(1))
     while True:
         big = Table(spark, _star(now.df, True), "large-star")
         now.drop()

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_tree, chat_format, decontaminate, line_dedup, near_dedup, pii, queries, repeat_removal, token_files, topk_search, toxicity
+from gridloom.llm import bpe_tree, chat_format, decontaminate, line_dedup, near_dedup, pii, queries, repeat_removal, sparkkit, token_files, topk_search, toxicity
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
@@ -237,6 +237,32 @@ def test_near_duplicates_in_groups_a_little_over_small_nodes(spark):
     assert {i: r["component_id"] for i, r in got.items()} == want
 
 
+def python_nodes_a_stage(plan):
+    """The most Python nodes between two exchanges of a plan's text; each takes a worker of its own in every task."""
+    above, most = [], 0
+    for line in plan.splitlines():
+        if name := re.search(r"[A-Za-z]\w*", line):
+            above = [x for x in above if x[0] < name.start()]
+            n = (above[-1][1] if above else 0) + bool(re.search("Python|Pandas|Arrow", name[0]))
+            most = max(most, n)
+            above.append((name.start(), 0 if "Exchange" in name[0] else n))
+    return most
+
+
+def test_near_duplicates_take_one_python_worker_a_task(spark, monkeypatch):
+    plans, write = [], sparkkit.Table.__init__
+
+    def spy(self, session, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(self, session, df, name)
+
+    monkeypatch.setattr(sparkkit.Table, "__init__", spy)
+    near_dedup.near_duplicates(frame(spark, brute.straddling_group(random.Random(11), 2, 160, 40)), 2, 80)
+    assert any("FlatMapGroupsInArrow" in p for p in plans) and max(map(python_nodes_a_stage, plans)) == 1
+    one = spark.range(3).mapInArrow(lambda batches: batches, "id long")
+    assert [python_nodes_a_stage(x._jdf.queryExecution().executedPlan().toString()) for x in (one, one.mapInArrow(lambda batches: batches, "id long"), one.repartition(2, "id").mapInArrow(lambda batches: batches, "id long"))] == [1, 2, 1]
+
+
 # 5 personal data
 
 PIECES = ["a", "b.c", "@", "x@y.z", "+", "1", "23", "+1 (234) 567-8901", "4111 1111 1111 1111", "4111111111111111", "10.0.0.256", "1.2.3.4", ".", "-", " ", "\n", "é", "300.1", "@@", "ssn: 123-45-6789", "https://u:p@h.com"]
