@@ -97,17 +97,18 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _frontier(classes: DataFrame) -> DataFrame:
-    """id, c, path: the nodes at DEPTH of every class; classes: id, c (null where the class is its own component), sketch."""
+    """id, c, n, path: the nodes at DEPTH of every class; classes: id, c (null where the class is its own component), n (its shingles), sketch."""
 
     def run(batches):
         for b in batches:
-            ids, sk, home = b.column("id").to_numpy(), _sketches(b.column("sketch")), b.column("c")
-            for at in range(0, len(ids), 2048):
-                n = len(ids[at : at + 2048])
+            sk = _sketches(b.column("sketch"))
+            for at in range(0, len(sk), 2048):
+                n = len(sk[at : at + 2048])
                 paths, rows = branch(*_roots(n), sk[at : at + n], DEPTH)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + n][rows]), home.take(pa.array(rows + at)), pa.array(paths.view(np.int64))], names=["id", "c", "path"])
+                own = b.select(["id", "c", "n"]).take(pa.array(rows + at))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(paths.view(np.int64))], names=["id", "c", "n", "path"])
 
-    return classes.select("id", "c", "sketch").mapInArrow(run, "id long, c long, path long")
+    return classes.select("id", "c", "n", "sketch").mapInArrow(run, "id long, c long, n long, path long")
 
 
 def _leaders(classes: DataFrame, share: int) -> DataFrame:
@@ -131,15 +132,15 @@ def _leaders(classes: DataFrame, share: int) -> DataFrame:
 
 
 def _mixed(frontier: DataFrame) -> DataFrame:
-    """path, id, c, n: members of nodes that hold classes of more than one component; n is the node's size."""
+    """path, id, c, n, members: members of nodes that hold classes of more than one component; n is the class's shingles, members the node's classes."""
     c = F.coalesce("c", "id")
-    nodes = frontier.groupBy("path").agg(F.count("*").alias("n"), F.min(c).alias("x"), F.max(c).alias("y")).where("x != y").select("path", "n")
-    return frontier.join(nodes, "path").select("path", "id", c.alias("c"), "n")
+    nodes = frontier.groupBy("path").agg(F.count("*").alias("members"), F.min(c).alias("x"), F.max(c).alias("y")).where("x != y").select("path", "members")
+    return frontier.join(nodes, "path").select("path", "id", c.alias("c"), "n", "members")
 
 
 def _small_pairs(mixed: DataFrame) -> DataFrame:
     """a > b: all pairs of small nodes, of different components."""
-    small = mixed.where(f"n <= {SMALL_NODE}").groupBy("path").agg(F.sort_array(F.collect_set(F.struct("id", "c"))).alias("m"))
+    small = mixed.where(f"members <= {SMALL_NODE}").groupBy("path").agg(F.sort_array(F.collect_set(F.struct("id", "c"))).alias("m"))
     return small.selectExpr("explode(filter(flatten(transform(m, (x, i) -> transform(slice(m, 1, i), y -> struct(x.id AS a, y.id AS b, x.c != y.c AS apart)))), p -> p.apart)) AS p").selectExpr("p.a", "p.b")
 
 
@@ -220,15 +221,14 @@ def node_links(i: np.ndarray, j: np.ndarray, c: np.ndarray, full: list[bytes], s
     return out
 
 
-def _large_links(large: DataFrame, classes: DataFrame, bodies: DataFrame, share: int) -> DataFrame:
-    """a > b: links of large nodes that join different components; large: path, id, c.
+def _large_links(members: DataFrame, bodies: DataFrame, share: int) -> DataFrame:
+    """a > b: links of large nodes that join different components; members: path, id, c, n (its shingles).
 
     Members outside a node's largest component are dealt into blocks, which
     meet each other and the blocks of the largest component; a task holds two
     blocks of bounded size at once, with their full sets. What it returns is a
     forest, so links are no more than members, whatever the pairs compared.
     """
-    members = large.join(classes.select("id", "n"), "id")
     size = f"CAST(ceil({{}} / {BLOCK}) AS int)"
     nodes = members.groupBy("path", "c").agg(F.sum("n").alias("m")).groupBy("path").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("n")).where("n > top.m")
     nodes = nodes.selectExpr("path", "top.c AS top", f"{size.format('(n - top.m)')} AS rest", f"{size.format('top.m')} AS tops", f"n <= {BLOCK} AS whole")
@@ -344,15 +344,15 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, share: int) ->
     def at_home(df: DataFrame) -> DataFrame:
         return df.join(links.df.selectExpr("a AS id", "b AS c"), "id", "left")
 
-    mixed = Table(spark, _mixed(_frontier(at_home(classes.select("id", "sketch")))), "nodes")
-    large = mixed.df.where(f"n > {SMALL_NODE}").select("path", "id", "c")
+    mixed = Table(spark, _mixed(_frontier(at_home(classes.select("id", "n", "sketch")))), "nodes")
+    large = mixed.df.where(f"members > {SMALL_NODE}").select("path", "id", "n")
     pairs = Table(spark, _similar(_small_pairs(mixed.df).distinct(), classes, share).select("a", "b"), "pairs")
     links = _linked(spark, pairs, links, docs, classes, words, share)
     if not large.isEmpty():
         bodies = Table(spark, _bodies(docs, classes.select("id", "doc").join(large.select("id").distinct(), "id", "left_semi"), words), "bodies")
         for nodes in (f"pmod(path, {SAMPLE_NODES}) = 0", f"pmod(path, {SAMPLE_NODES}) != 0"):
-            now = at_home(large.where(nodes).drop("c")).select("path", "id", F.coalesce("c", "id").alias("c"))
-            merged = components(spark, _large_links(now, classes, bodies.df, share).unionByName(links.df))
+            now = at_home(large.where(nodes)).select("path", "id", F.coalesce("c", "id").alias("c"), "n")
+            merged = components(spark, _large_links(now, bodies.df, share).unionByName(links.df))
             links.drop()
             links = merged
         bodies.drop()

@@ -263,6 +263,19 @@ def test_near_duplicates_take_one_python_worker_a_task(spark, monkeypatch):
     assert [python_nodes_a_stage(x._jdf.queryExecution().executedPlan().toString()) for x in (one, one.mapInArrow(lambda batches: batches, "id long"), one.repartition(2, "id").mapInArrow(lambda batches: batches, "id long"))] == [1, 2, 1]
 
 
+def test_members_of_large_nodes_are_joined_with_their_sets_only(spark, monkeypatch):
+    plans, write = [], sparkkit.Table.__init__
+
+    def spy(self, session, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(self, session, df, name)
+
+    monkeypatch.setattr(sparkkit.Table, "__init__", spy)
+    near_dedup.near_duplicates(frame(spark, brute.straddling_group(random.Random(11), 2, 160, 40)), 2, 80)
+    large = [p for p in plans if "FlatMapGroupsInArrow" in p]
+    assert large and all(len(re.findall(r"Join \[id#\d+L\], \[id#\d+L\], Inner", p)) == 1 for p in large)
+
+
 # 5 personal data
 
 PIECES = ["a", "b.c", "@", "x@y.z", "+", "1", "23", "+1 (234) 567-8901", "4111 1111 1111 1111", "4111111111111111", "10.0.0.256", "1.2.3.4", ".", "-", " ", "\n", "é", "300.1", "@@", "ssn: 123-45-6789", "https://u:p@h.com"]
